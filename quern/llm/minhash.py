@@ -7,6 +7,9 @@
    sets, and the verified links give first components.
 3. Only buckets that still hold two or more components are compared pairwise across those components, and only pairs
    whose sketches agree as links must; these are verified on full sets too. No link that shares a bucket is lost.
+
+A sketch has one bit of each minimum, and PARITY bits that hold the parity of the shingles hashed to each. Two parity
+sketches differ in no more bits than the sets have elements apart, so pairs beyond a link's distance are surely none.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ from .components import connected_components
 PERMUTATIONS = 160
 #: A pair at the threshold shares no bucket with at most this probability.
 MAX_MISS = 1e-5
+#: Bits of the parity sketch.
+PARITY = 2048
 WORDS = 300_000
-_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def banding(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:
@@ -78,7 +82,7 @@ class Minima:
         self.mix = rng.integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band hashes (int64) and the sketch (one bit of each minimum, packed in int64s)."""
+        """Band hashes (int64) and the sketch (a bit of each minimum, then the parity bits, packed in int64s)."""
         least = None
         for at in range(0, len(shingles), 4096):
             x = self.a * shingles[at : at + 4096]
@@ -89,7 +93,8 @@ class Minima:
         mixed = ((least[: self.bands * self.rows].reshape(self.bands, self.rows) + np.uint64(1)) * self.mix).sum(axis=1, dtype=np.uint64)
         mixed ^= mixed >> np.uint64(31)
         bits = np.packbits((least & np.uint64(1)).astype(np.uint8), bitorder="little")
-        return mixed.view(np.int64), np.frombuffer(bits.tobytes().ljust(-(-len(bits) // 8) * 8, b"\0"), dtype="<i8")
+        parity = np.packbits((np.bincount((shingles >> np.uint64(11)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8))
+        return mixed.view(np.int64), np.frombuffer(bits.tobytes().ljust(-(-len(bits) // 8) * 8, b"\0") + parity.tobytes(), dtype="<i8")
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: int, permutations: int) -> DataFrame:
@@ -165,10 +170,11 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
     return joined.mapInArrow(run, "u long, v long")
 
 
-def _differing(a: str, b: str, longs: int) -> Column:
+def _differing(longs: range) -> Column:
+    """Differing bits of columns s<k> and t<k>: plain longs, so that the join's generated code stays small."""
     out = F.lit(0)
-    for k in range(longs):
-        out = out + F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k]))
+    for k in longs:
+        out = out + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}")))
     return out
 
 
@@ -183,7 +189,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bands, rows = banding(percent / 100, permutations)
     signed = Stored(signatures(docs, doc_id, text, n, bands, rows, permutations), "signatures").df
     known = signed.where("digest is not null and doc_id is not null")
-    classes = Stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes").df
+    classes = Stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "classes").df
     flat = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     hubs = flat.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     hubs = Stored(hubs, "hubs").df
@@ -195,11 +201,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("component"))
     placed = Stored(placed, "placed").df
     split = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "bucket")
-    mixed = placed.join(Stored(split, "split").df, ["band", "bucket"]).join(classes.select("rep", "sketch"), "rep")
+    mixed = placed.join(Stored(split, "split").df, ["band", "bucket"]).join(classes.select("rep", "sketch", "n"), "rep")
     mixed = Stored(mixed, "mixed").df
-    a = mixed.select("band", "bucket", F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("sketch").alias("su"))
-    b = mixed.select("band", "bucket", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("sketch").alias("sv"))
-    agree = _differing("su", "sv", -(-permutations // 64)) <= sketch_slack(percent / 100, permutations)
+    longs = -(-permutations // 64)
+    every = range(longs + PARITY // 64)
+    mixed = mixed.select("band", "bucket", "rep", "component", "n", *(F.col("sketch")[k].alias(f"s{k}") for k in every))
+    a = mixed.withColumnsRenamed({"rep": "u", "component": "cu", "n": "nu"})
+    b = mixed.withColumnsRenamed({"rep": "v", "component": "cv", "n": "nv"} | {f"s{k}": f"t{k}" for k in every})
+    agree = _differing(range(longs)) <= sketch_slack(percent / 100, permutations)
+    agree = agree & (_differing(every[longs:]) * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent))
     across = a.hint("shuffle_merge").join(b, ["band", "bucket"]).where((F.col("cu") < F.col("cv")) & agree)
     tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     across = Stored(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "across").df
