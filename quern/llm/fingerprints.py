@@ -54,7 +54,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     bucket = F.size(F.filter(bounds, lambda b: b > key))
     heads = dict(sorted((r[0], r[1]) for r in docs.groupBy(bucket.alias("b")).agg(F.max(key)).collect()))  # at most 1024 rows
     order = list(heads)
-    before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
+    before = dict(zip(order, [*order[-1:], *order[:-1]], strict=True))
     head_of = F.create_map(*(F.lit(x) for b in order for x in (b, heads[b]))) if order else F.create_map(F.lit(0), F.lit(0))
     before_of = F.create_map(*(F.lit(x) for b in order for x in (b, before[b]))) if order else F.create_map(F.lit(0), F.lit(0))
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), bucket.alias("own"))
