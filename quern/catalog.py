@@ -51,11 +51,11 @@ def chat_supervision(spark, sf_dir):
 
 @query(f"""WITH {_RENDER}, e AS (SELECT conv_id, unnest(input_ids) AS id, generate_subscripts(input_ids, 1) - 1 AS p FROM samples),
 a AS (SELECT conv_id, p, row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS nth FROM e WHERE id = 9)
-SELECT conv_id, CAST(nth // (1 + conv_id % 4) AS BIGINT) AS ord, CAST(min(p) AS BIGINT) AS start, CAST(max(p) + 1 AS BIGINT) AS "end" FROM a GROUP BY ALL""")
+SELECT conv_id, CAST(nth // (1 + conv_id % 4) AS BIGINT) AS ord, CAST(min(p) AS BIGINT) AS start, CAST(max(p) + 1 AS BIGINT) AS stop FROM a GROUP BY ALL""")
 def token_ranges(spark, sf_dir):
     """Half-open token ranges of every attachment (T4)."""
     s = supervision.supervised(_t(spark, sf_dir, "conversations"))
-    return s.select("conv_id", F.posexplode("token_ranges").alias("ord", "r")).select("conv_id", F.col("ord").cast("long").alias("ord"), "r.start", "r.end")
+    return s.select("conv_id", F.posexplode("token_ranges").alias("ord", "r")).select("conv_id", F.col("ord").cast("long").alias("ord"), "r.start", F.col("r.end").alias("stop"))
 
 
 def _collated_sql(side: str) -> str:

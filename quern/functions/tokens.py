@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 IGNORE = -100
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row: a lambda variable isn't inlined into inner loops."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def positions(ids: Column, token: int) -> Column:
     """0-based places of a token."""
     return F.filter(F.transform(ids, lambda x, i: F.when(x == token, i)), lambda i: i.isNotNull())
@@ -15,21 +20,28 @@ def positions(ids: Column, token: int) -> Column:
 
 def expand_attachments(ids: Column, counts: Column, token: int) -> Column:
     """The k-th attachment token becomes counts[k] copies of itself; without counts the ids stay."""
-    at = positions(ids, token)
-    grown = F.flatten(F.transform(ids, lambda x, i: F.when(x == token, F.array_repeat(x, F.get(counts, (F.array_position(at, i) - 1).cast("int")).cast("int"))).otherwise(F.array(x))))
-    return F.when(F.size(counts) == 0, ids).when(F.size(at) == F.size(counts), grown).otherwise(F.raise_error(F.lit("attachment tokens and attachments differ in number")))
+
+    def grow(at: Column) -> Column:
+        times = lambda i: F.get(counts, (F.array_position(at, i) - 1).cast("int")).cast("int")
+        grown = F.flatten(F.transform(ids, lambda x, i: F.when(x == token, F.array_repeat(x, times(i))).otherwise(F.array(x))))
+        return F.when(F.size(at) == F.size(counts), grown).otherwise(F.raise_error(F.lit("attachment tokens and attachments differ in number")))
+
+    return F.when(F.size(counts) == 0, ids).otherwise(_let(positions(ids, token), grow))
 
 
 def token_ranges(ids: Column, counts: Column, token: int) -> Column:
     """(start, end) of each attachment's run of tokens in expanded ids, end excluded."""
     at = positions(ids, token)
 
-    def one(n: Column, k: Column) -> Column:
-        skipped = F.aggregate(F.slice(counts, 1, k), F.lit(0).cast("long"), lambda s, x: s + x)
-        start = F.get(at, skipped.cast("int")).cast("long")
-        return F.struct(start.alias("start"), (start + n).alias("end"))
+    def ranges(at: Column) -> Column:
+        def one(n: Column, k: Column) -> Column:
+            skipped = F.aggregate(F.slice(counts, 1, k), F.lit(0).cast("long"), lambda s, x: s + x)
+            start = F.get(at, skipped.cast("int")).cast("long")
+            return F.struct(start.alias("start"), (start + n).alias("end"))
 
-    return F.transform(counts, one)
+        return F.transform(counts, one)
+
+    return _let(positions(ids, token), ranges)
 
 
 def tag_positions(ids: Column, tag: list[int]) -> Column:
@@ -40,10 +52,15 @@ def tag_positions(ids: Column, tag: list[int]) -> Column:
 
 def mask_between(labels: Column, ids: Column, left: list[int], right: list[int]) -> Column:
     """IGNORE over each span from a left tag to the end of the first right tag after it; a span that isn't closed is an error."""
-    starts, ends = tag_positions(ids, left), tag_positions(ids, right)
-    close = lambda s: F.get(F.filter(ends, lambda e: e >= s), F.lit(0))
-    spans = F.transform(starts, lambda s: F.struct(s.alias("s"), (F.coalesce(close(s), F.raise_error(F.lit("a tag isn't closed")).cast("int")) + len(right)).alias("e")))
-    return F.transform(labels, lambda x, i: F.when(F.exists(spans, lambda p: (i >= p["s"]) & (i < p["e"])), F.lit(IGNORE).cast("long")).otherwise(x))
+
+    def close(ends: Column):
+        shut = lambda s: F.coalesce(F.get(F.filter(ends, lambda e: e >= s), F.lit(0)), F.raise_error(F.lit("a tag isn't closed")).cast("int"))
+        return F.transform(tag_positions(ids, left), lambda s: F.struct(s.alias("s"), (shut(s) + len(right)).alias("e")))
+
+    def mask(spans: Column) -> Column:
+        return F.transform(labels, lambda x, i: F.when(F.exists(spans, lambda p: (i >= p["s"]) & (i < p["e"])), F.lit(IGNORE).cast("long")).otherwise(x))
+
+    return _let(_let(tag_positions(ids, right), close), mask)
 
 
 def pad(ids: Column, length: Column, value: int, side: str = "right") -> Column:

@@ -40,9 +40,8 @@ def supervised(turns: DataFrame) -> DataFrame:
     raw = c.select("conv_id", render(F.col("messages")).alias("ids"), F.size(F.filter("messages", lambda m: m["role"] == "user")).alias("users"))
     counted = raw.withColumn("counts", F.when(F.col("users") > 0, F.array_repeat((1 + F.pmod("conv_id", F.lit(4))).cast("long"), F.col("users"))).otherwise(F.array().cast("array<bigint>")))
     grown = counted.select("conv_id", "counts", T.expand_attachments(F.col("ids"), F.col("counts"), ATTACHMENT).alias("input_ids"))
-    labels = F.col("input_ids")
-    for role in ("system", "user"):
-        labels = T.mask_between(labels, F.col("input_ids"), [ROLE_TAGS[role]], [END])
+    masked = T.mask_between(F.col("input_ids"), F.col("input_ids"), [ROLE_TAGS["system"]], [END])
+    labels = T.mask_between(masked, F.col("input_ids"), [ROLE_TAGS["user"]], [END])
     return grown.select("conv_id", "input_ids", F.transform("input_ids", lambda x: F.lit(1).cast("long")).alias("attention_mask"), labels.alias("labels"), T.token_ranges(F.col("input_ids"), F.col("counts"), ATTACHMENT).alias("token_ranges"))
 
 
