@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -126,6 +127,12 @@ class Codec:
         return " ".join(self.names[i] for i in ids)
 
 
+@functools.lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """The worker's codec: it and what it remembers outlive a task."""
+    return Codec(path)
+
+
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, outputs: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with ``outputs`` also ids and decoded themselves.
 
@@ -138,7 +145,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if outputs else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             n, ids_sha, text_sha, all_ids, decoded = [], [], [], [], []
             for t in batch.column(1).to_pylist():
