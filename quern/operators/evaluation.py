@@ -36,8 +36,14 @@ def report_averages(report: DataFrame) -> DataFrame:
 
 
 def running_mean(df: DataFrame, value: str, group: str, order: str) -> DataFrame:
+    """Mean of the values up to each row. Values with at most ten decimals are summed exactly, so that means that lie halfway
+    between two rounded numbers don't depend on the order of additions; others fall back to floating point."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running_mean", F.avg(value).over(w))
+    exact = F.col(value).try_cast("decimal(28,10)")
+    exact = F.when(exact.cast("double") == F.col(value).cast("double"), exact)
+    n = F.count(value).over(w)
+    mean = F.when(F.count(exact).over(w) == n, F.sum(exact).over(w).cast("double") / F.nullif(n, F.lit(0)))
+    return df.withColumn("running_mean", F.coalesce(mean, F.avg(value).over(w)))
 
 
 def mean_of_batch_means(df: DataFrame, value: str, batch: str) -> DataFrame:
