@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, fingerprints, lines, minhash, packing, quality, rollups, sharding, suffixes, toxicity
-from .common import shared_dir
+from .common import Stored, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,15 +34,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents counted as words; those labelled toxic deleted; German ones revised to a count of characters. The last
     batch is committed twice."""
-    docs = _table(spark, sf_dir, "documents")
     store = rollups.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    store.commit("load", rollups.inserts(rollups.count_words(docs, "words@1")))
-    gone = docs.join(toxic, "doc_id", "left_semi")
-    store.commit("delete-toxic", rollups.deletes(rollups.count_words(gone, "words@1")))
-    german = docs.where("lang = 'de'").join(toxic, "doc_id", "left_anti")
+    # Texts are counted before any join, so only ids and counts are shuffled.
+    words, characters = (
+        Stored(count(_table(spark, sf_dir, "documents"), name, keep=["doc_id"]), "counts").df for count, name in ((rollups.count_words, "words@1"), (rollups.count_characters, "characters@1"))
+    )
+    store.commit("load", rollups.inserts(words))
+    store.commit("delete-toxic", rollups.deletes(words.join(toxic, "doc_id", "left_semi")))
+    old, new = (c.where("lang = 'de'").join(toxic, "doc_id", "left_anti") for c in (words, characters))
     for _ in range(2):
-        store.commit("revise-de", rollups.revisions(rollups.count_words(german, "words@1"), rollups.count_characters(german, "characters@1")))
+        store.commit("revise-de", rollups.revisions(old, new))
     return store.totals()
 
 

@@ -7,7 +7,7 @@ nothing. The totals are the sum of all batches; ``compact`` is that sum written
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import words_of
@@ -29,15 +29,19 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
-def count_words(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """GROUP columns and tokens of each row, a token being a word. Null texts have none; null sources and languages are
-    groups of their own."""
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), F.size(words_of(F.col(text))).cast("long").alias("tokens"))
+def _counted(docs: DataFrame, tokenizer: str, tokens: Column, keep: list[str] | None) -> DataFrame:
+    return docs.select(*(docs[c] for c in keep or []), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), tokens.cast("long").alias("tokens"))
 
 
-def count_characters(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+def count_words(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` and GROUP columns and tokens of each row, a token being a word. Null texts have none; null sources and
+    languages are groups of their own."""
+    return _counted(docs, tokenizer, F.size(words_of(F.col(text))), keep)
+
+
+def count_characters(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The same with a token for every character."""
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("tokens"))
+    return _counted(docs, tokenizer, F.coalesce(F.length(text), F.lit(0)), keep)
 
 
 class Rollup:
