@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import shared_dir
-from quern.llm.lines import remove_lines
+from quern.llm.lines import LEAST_BYTES, remove_lines
 from quern.llm.minhash import near_duplicates
 from quern.llm.packing import pack
 from quern.llm.quality import judge
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go."""
-    return remove_lines(docs)
+    """Later copies of repeated runs of lines go: of three lines or more, or of 100 bytes or more."""
+    return remove_lines(docs, least_bytes=LEAST_BYTES)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -210,6 +210,35 @@ def test_lines(docs, empty):
     assert kept[at["z\nl1\nl2\nl3\n\nq"]] == "z\n\nq"
 
 
+@pytest.mark.parametrize(("run", "least"), [(3, 100), (3, 20), (5, 5), (1, 100), (3, None)])
+def test_lines_by_content(spark, docs, run, least):
+    """Runs of fewer than ``run`` lines go by their bytes; a passage on one line and a text of two lines among them."""
+    odd = ["é" * 49 + "x", "é" * 50, "aa\nbb\ncc\ndd\nee", "p\naa\nbb\nq", "p\n\naa\nq", "x" * 60 + "\n" + "y" * 60, "y" * 60 + "\n" + "x" * 60, "bb\ncc\ndd\nee\nff"]
+    rows = [*pairs(docs), *((1000 + i, t) for i, t in enumerate([*odd, *(f"{t}\nz" for t in odd), "x" * 60 + "\n \n" + "y" * 60])), (3, "aa\nbb\ncc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tags = {(r.doc_id, r.text): r.tag for r in df.select("doc_id", "text", F.xxhash64("text").alias("tag")).collect()}
+    seen, want = [set() for _ in range(run + 1)], {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, tags[r])):
+        lines_of = [x for x in t.split("\n") if x.encode().split()]
+        gone = set()
+        for k in range(len(lines_of)):
+            for h in range(1, min(run, len(lines_of) - k) + 1):
+                w = tuple(lines_of[k : k + h])
+                if w in seen[h] and (h == run or (least is not None and sum(len(x.encode()) for x in w) >= least)):
+                    gone.update(range(k, k + h))
+                seen[h].add(w)
+        k, out = -1, []
+        for x in t.split("\n"):
+            k += bool(x.encode().split())
+            if not x.encode().split() or k not in gone:
+                out.append(x)
+        want[i, t] = "\n".join(out), len(gone)
+    got = sorted((str(r.doc_id), r.n_removed_lines, r.kept_sha256) for r in lines.digest_lines(df, run=run, least_bytes=least).collect())
+    assert got == sorted((str(i), want[i, t][1], hashlib.sha256(want[i, t][0].encode()).hexdigest()) for i, t in rows)
+    left = sorted((str(i), want[i, t][0]) for i, t in rows if not want[i, t][1] or want[i, t][0].encode().split())
+    assert sorted((str(r.doc_id), r.text) for r in lines.remove_lines(df, run=run, least_bytes=least).collect()) == left
+
+
 def test_rollups(spark, docs, tmp_path):
     store = rollups.Rollup(spark, str(tmp_path / "r"))
     counts = rollups.count_words(docs, "w")

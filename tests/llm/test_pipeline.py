@@ -14,3 +14,10 @@ def test_stages(spark, sf_dir):
             assert out.join(docs, "doc_id", "left_anti").count() == 0
             kept = out
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_repeated_passage_on_one_line_goes(spark, sf_dir):
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a\n{passage}\nb"), (2, f"c\n{passage}"), (3, passage), (4, "a\nshort")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, sf_dir).collect()}
+    assert got == {1: f"a\n{passage}\nb", 2: "c", 4: "a\nshort"}
