@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, let, words_of
+from .common import let, words_of
 
 #: Samples in a fingerprint: PER_BLOCK in each generated loop body (short enough to be compiled), times blocks.
-SAMPLES = 20
+SAMPLES = 64
 PER_BLOCK = 4
 _LOWEST = -(1 << 63)
 
@@ -40,10 +40,11 @@ def sample_value(term: Column, weight: Column, i: Column) -> Column:
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(place, next_place, doc_id, text, next_text) of every row, next in descending doc_id, the last followed by the first.
+    """(bucket, place, copy, doc_id, text, next_text) of every row, next in descending doc_id, the last followed by the first.
 
     One shuffle: rows go to buckets between approximate quantiles of doc_id, and the first row of each bucket goes to the
-    bucket before it as well, so a window inside the buckets sees every successor. ``place`` numbers rows uniquely.
+    bucket before it as well, so a window inside the buckets sees every successor. ``place`` numbers rows uniquely. The first of a bucket's copies is
+    returned too (``copy``), as the successor of the last row; what is grouped by bucket needs no further shuffle.
     Null ids come last, null texts are empty, repeated ids are ordered by text.
     """
     spark = docs.sparkSession
@@ -66,11 +67,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     place = lambda b, nth: F.shiftleft(b.cast("long"), 40).bitwiseOR(nth.cast("long"))
     nth = F.row_number().over(w)
     lead = lambda c: F.lead(c).over(w)
-    seen = rows.select(
-        "doc_id", "text", "copy", lead("text").alias("next_text"), place(F.col("bucket"), nth).alias("place"),
-        place(lead("own"), F.when(lead("copy"), 1).otherwise(nth + 1)).alias("next_place"),
-    )
-    return seen.where(~F.col("copy")).drop("copy")
+    seen = rows.select("bucket", "doc_id", "text", "copy", lead("text").alias("next_text"), place(F.col("bucket"), nth).alias("place"), F.lag("copy").over(w).alias("after_copy"))
+    return seen.where(~F.col("copy") | ~F.col("after_copy")).drop("after_copy")
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -88,27 +86,24 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     blocks = samples // PER_BLOCK
     both = with_next(docs, doc_id, text).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     version = lambda v, t: F.struct(F.lit(v).alias("v"), t.alias("t"))
-    first = lambda c: F.when(F.col("one.v") == 0, c).alias
-    each = both.select(
-        "place", "next_place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.explode(F.array(version(0, F.col("text")), version(1, F.col("edited")))).alias("one"),
-    ).select("place", first(F.col("next_place"))("next_place"), first(F.col("doc_id"))("doc_id"), first(F.col("n_chars"))("n_chars"), first(F.col("edited_sha256"))("edited_sha256"), F.col("one.v").alias("v"), weighted_terms(F.col("one.t")).alias("terms"))
-    meta = ["next_place", "doc_id", "n_chars", "edited_sha256"]
-    terms = each.select("place", "v", *meta, F.explode_outer("terms").alias("x"))
+    first = lambda c: F.when(F.col("one.v") == 0, F.col(c)).alias(c)
+    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.when(~F.col("copy"), F.sha2(F.col("edited").cast("binary"), 256)))
+    versions = F.when(F.col("copy"), F.array(version(0, F.col("text")))).otherwise(F.array(version(0, F.col("text")), version(1, F.col("edited"))))
+    meta = ["copy", "doc_id", "n_chars", "edited_sha256"]
+    each = both.withColumn("one", F.explode(versions)).select("bucket", "place", *(first(c) for c in meta), F.col("one.v").alias("v"), weighted_terms(F.col("one.t")).alias("terms"))
+    terms = each.select("bucket", "place", "v", *meta, F.explode_outer("terms").alias("x"))
     lead_block = lambda c: F.when(F.col("block") == 0, F.col(c)).alias(c)
     parts = terms.select(
-        "place", "v", *meta, F.col("x.term").alias("term"), F.col("x.weight").alias("weight"), F.explode(F.array(*(F.lit(b) for b in range(blocks)))).alias("block")
+        "bucket", "place", "v", *meta, F.col("x.term").alias("term"), F.col("x.weight").alias("weight"), F.explode(F.array(*(F.lit(b) for b in range(blocks)))).alias("block")
     ).select(
-        (F.shiftleft(F.col("place"), 1) + F.col("v")).alias("pv"), "block", *(lead_block(c) for c in meta),
+        "bucket", (F.shiftleft(F.col("place"), 1) + F.col("v")).alias("pv"), "block", *(lead_block(c) for c in meta),
         *(sample_value(F.col("term"), F.col("weight"), F.col("block") * PER_BLOCK + j).alias(f"s{j}") for j in range(PER_BLOCK)),
-    ).groupBy("pv", "block", *meta).agg(*(F.min(f"s{j}").alias(f"s{j}") for j in range(PER_BLOCK)))
+    ).groupBy("bucket", "pv", "block", *meta).agg(*(F.min(f"s{j}").alias(f"s{j}") for j in range(PER_BLOCK)))
     listed = F.sort_array(F.collect_list(F.struct((F.col("pv") % 2).alias("v"), "block", F.array(*(F.col(f"s{j}") for j in range(PER_BLOCK))).alias("s"))))
-    signs = parts.groupBy(F.shiftright("pv", 1).alias("place")).agg(*(F.max(c).alias(c) for c in meta), listed.alias("l"))
+    signs = parts.groupBy("bucket", F.shiftright("pv", 1).alias("place")).agg(*(F.max(c).alias(c) for c in meta), listed.alias("l"))
     of = lambda v: F.flatten(F.transform(F.filter("l", lambda x: x["v"] == v), lambda x: x["s"]))
-    stored = Stored(signs.select("place", *meta, of(0).alias("own"), of(1).alias("ed")), "fingerprints").df
-    following = stored.select(F.col("place").alias("next_place"), F.col("own").alias("next"))
+    signed = signs.select("bucket", "place", *meta, of(0).alias("own"), of(1).alias("ed"))
+    after = signed.withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy("place"))).where(~F.col("copy"))
     near = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(samples))
     text_of = lambda a: F.array_join(F.transform(a, lambda x: F.when(x.isNull(), F.lit("-" * 8)).otherwise(F.substring(F.lpad(F.lower(F.hex(F.xxhash64(x))), 16, "0"), 1, 8))), "")
-    return stored.join(following, "next_place").select(
-        "doc_id", "n_chars", "edited_sha256", text_of("own").alias("fingerprint"), text_of("ed").alias("edited_fingerprint"), near("own", "ed").alias("near_edited"), near("own", "next").alias("near_next")
-    )
+    return after.select("doc_id", "n_chars", "edited_sha256", text_of("own").alias("fingerprint"), text_of("ed").alias("edited_fingerprint"), near("own", "ed").alias("near_edited"), near("own", "next").alias("near_next"))
