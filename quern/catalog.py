@@ -45,7 +45,7 @@ def _csv(c: str):
 
 @query(f"WITH {_RENDER} SELECT conv_id, {_CSV.format(c='input_ids')} AS input_ids, {_CSV.format(c='labels')} AS labels FROM samples")
 def chat_supervision(spark, sf_dir):
-    """Rendered conversations with expanded attachments and masked labels."""
+    """Rendered conversations with expanded attachments and masked labels."""
     return supervision.supervised(_t(spark, sf_dir, "conversations")).select("conv_id", _csv("input_ids"), _csv("labels"))
 
 
@@ -94,11 +94,14 @@ def letter_reward(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", X.letter_reward(F.col("text")).alias("score"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '?' WHEN turn % 3 = 1 THEN left(text, 1) ELSE left(role, 1) END AS answer FROM conversations""")
+@query("""WITH made AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN role || ' no answer' WHEN 1 THEN 'x Answer: **' || text WHEN 2 THEN 'Answer: q Answer: ' || role ELSE text || 'Answer: A, or Answer: ' END AS said FROM conversations),
+parts AS (SELECT conv_id, turn, string_split(replace(said, '**', ''), 'Answer: ') AS p FROM made)
+SELECT conv_id, turn, CASE WHEN len(p) = 1 OR p[-1] = '' THEN '?' ELSE p[-1][1] END AS answer FROM parts""")
 def answer_extraction(spark, sf_dir):
     """The character after the last answer mark (X1, X2) of generations made from turns."""
     t = _t(spark, sf_dir, "conversations")
-    made = F.when(F.col("turn") % 3 == 0, F.concat("role", F.lit(" no answer"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("x Answer: **"), "text")).otherwise(F.concat(F.lit("Answer: q Answer: "), "role"))
+    made = F.when(F.col("turn") % 4 == 0, F.concat("role", F.lit(" no answer"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("x Answer: **"), "text"))
+    made = made.when(F.col("turn") % 4 == 2, F.concat(F.lit("Answer: q Answer: "), "role")).otherwise(F.concat("text", F.lit("Answer: A, or Answer: ")))
     return t.select("conv_id", "turn", X.extract_answer(made).alias("answer"))
 
 
@@ -109,7 +112,8 @@ def mcq_prompts(spark, sf_dir):
     return b.select("item_id", X.mcq_prompt(F.col("text"), [("A", F.lit("yes")), ("B", F.lit("no")), ("C", F.col("c"))]).alias("prompt"), F.when(F.col("c").isNull(), 2).otherwise(3).alias("n_options"))
 
 
-@query("""SELECT avg(CAST(quality = toxic AS INT)) AS accuracy, sum(CAST(quality = toxic AND doc_id % 5 <> 0 AS INT)) / CAST(count(*) FILTER (WHERE doc_id % 5 <> 0) AS DOUBLE) AS precision_, avg(1.0 / CAST(4 + doc_id % 2 AS DOUBLE)) AS baseline FROM (SELECT * FROM labels WHERE doc_id % 5 <> 0 OR quality <> 9)""".replace("avg(CAST(quality = toxic AS INT))", "avg(CAST(quality = toxic AND doc_id % 5 <> 0 AS INT))"))
+@query("""WITH r AS (SELECT doc_id % 5 <> 0 AS answered, doc_id % 5 <> 0 AND quality = toxic AS hit, 4 + doc_id % 2 AS n FROM labels)
+SELECT count(*) FILTER (WHERE hit) / CAST(count(*) AS DOUBLE) AS accuracy, count(*) FILTER (WHERE hit) / CAST(count(*) FILTER (WHERE answered) AS DOUBLE) AS precision_, avg(1.0 / CAST(n AS DOUBLE)) AS baseline FROM r""")
 def answer_accuracy(spark, sf_dir):
     """Accuracy, precision over the answered and the guessing baseline (A5-A7); a fifth of the rows has no answer."""
     rows = _t(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 5 == 0, "?").otherwise(F.col("toxic").cast("string")).alias("a"), F.col("quality").cast("string").alias("t"), (4 + F.col("doc_id") % 2).alias("n"))
@@ -173,15 +177,16 @@ def strided_shard(spark, sf_dir):
     return indexing.shard(_t(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), 7, 2, contiguous=False)
 
 
-@query("""WITH RECURSIVE d AS (SELECT i AS draw, CAST(('0x' || left(md5('42-' || i), 8)) AS BIGINT) / 4294967296.0 AS u FROM (SELECT unnest(range(CAST((SELECT count(*) + 1 FROM documents WHERE lang IN ('en', 'fr')) AS BIGINT))) AS i)),
-s AS (SELECT draw, CASE WHEN u < CAST(0.75 AS DOUBLE) THEN 'en' ELSE 'fr' END AS source_name FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY draw) - 1 AS nth FROM s),
-r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS nth, count(*) OVER (PARTITION BY lang) AS c FROM documents WHERE lang IN ('en', 'fr')),
+@query("""WITH d AS (SELECT i AS draw, CAST(('0x' || left(md5('42-' || i), 8)) AS BIGINT) / 4294967296.0 AS u FROM (SELECT unnest(range(CAST((SELECT count(*) + 1 FROM documents) AS BIGINT))) AS i)),
+s AS (SELECT draw, CASE WHEN u < CAST(0.5 AS DOUBLE) THEN 'en' WHEN u < CAST(0.75 AS DOUBLE) THEN 'fr' WHEN u < CAST(0.875 AS DOUBLE) THEN 'de' ELSE 'es' END AS source_name FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY draw) - 1 AS nth FROM s),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS nth, count(*) OVER (PARTITION BY lang) AS c FROM documents),
 stop AS (SELECT min(draw) AS stop FROM n JOIN (SELECT DISTINCT lang, c FROM r) x ON x.lang = n.source_name WHERE nth >= c)
 SELECT r.doc_id, n.source_name, n.draw FROM n JOIN r ON r.lang = n.source_name AND r.nth = n.nth, stop WHERE n.draw < coalesce(stop, 9223372036854775807)""")
 def weighted_interleave(spark, sf_dir):
-    """Interleave by weights 3 : 1 until a source runs out."""
+    """Interleave all languages by weights 4 : 2 : 1 : 1 until one runs out."""
     d = _t(spark, sf_dir, "documents").select("doc_id", "lang")
-    return mixing.interleave([("en", d.where("lang = 'en'"), 3.0), ("fr", d.where("lang = 'fr'"), 1.0)], "doc_id").select("doc_id", "source_name", "draw")
+    sources = [(x, d.where(F.col("lang") == x), w) for x, w in (("en", 4.0), ("fr", 2.0), ("de", 1.0), ("es", 1.0))]
+    return mixing.interleave(sources, "doc_id").select("doc_id", "source_name", "draw")
 
 
 @query("SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 20")
@@ -224,7 +229,7 @@ def _samples(spark, sf_dir):
 def registry_merge(spark, sf_dir):
     """Attachments looked up in a registry, order and empty lists kept."""
     reg = _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), F.col("quality").cast("string").alias("payload"))
-    merged = modalities.merge_registry(_samples(spark, sf_dir), reg, "doc_id")
+    merged = modalities.merge_registry(_samples(spark, sf_dir), reg)
     return merged.select("doc_id", F.array_join(F.transform("modalities", lambda m: F.coalesce(m["value"], F.lit("-"))), ",").alias("payloads"))
 
 
@@ -232,13 +237,13 @@ def registry_merge(spark, sf_dir):
 def valid_samples(spark, sf_dir):
     """Samples whose attachments are all there and valid; those without any stay."""
     reg = _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), (F.col("quality") + 1).alias("height"))
-    return modalities.valid_samples(_samples(spark, sf_dir), reg, "doc_id").select("doc_id")
+    return modalities.valid_samples(_samples(spark, sf_dir), reg).select("doc_id")
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n, list_max(v) AS top, list_position(v, list_max(v)) - 1 AS argmax, v FROM e)
 SELECT vec_id, round(n, 6) AS norm, CAST(argmax AS INT) AS argmax, round(exp(top - top) / list_sum(list_transform(v, lambda x: exp(x - top))), 6) AS top_softmax, round(top + ln(list_sum(list_transform(v, lambda x: exp(x - top)))) - v[1], 6) AS loss, round(list_max(list_transform(v, lambda x: x / top)), 6) AS scaled FROM n""")
 def vector_functions(spark, sf_dir):
-    """Norm, argmax, softmax, cross-entropy and division by the maximum."""
+    """Norm, argmax, softmax, cross-entropy and division by the maximum."""
     e = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return e.select(
         "vec_id", F.round(F.sqrt(V.dot(F.col("v"), F.col("v"))), 6).alias("norm"), V.argmax(F.col("v")).alias("argmax"), F.round(F.array_max(V.softmax(F.col("v"))), 6).alias("top_softmax"),
@@ -254,18 +259,19 @@ def top_k(spark, sf_dir):
     return e.select("vec_id", F.posexplode(V.top_k(F.col("embedding"), 3)).alias("n", "s")).select("vec_id", (F.col("n") + 1).alias("n"), F.col("s.index").alias("i"))
 
 
-@query("""WITH e AS (SELECT vec_id // 16 AS b, vec_id % 16 AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT x.b, x.i, y.i AS j, list_dot_product(x.v, y.v) * 10 AS s FROM e x JOIN e y USING (b)),
-c AS (SELECT b, i, ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) AS l FROM s GROUP BY b, i) SELECT b AS batch, round(avg(l), 6) AS loss FROM c GROUP BY b""")
+@query("""WITH e AS (SELECT vec_id // 16 AS b, vec_id % 16 AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT x.b, x.i, y.i AS j, list_dot_product(x.v, list_transform(y.v, lambda e, k: e * (k % 3))) * 10 AS s FROM e x JOIN e y USING (b)),
+c AS (SELECT b, ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) AS l FROM s GROUP BY b, i UNION ALL SELECT b, ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) AS l FROM s GROUP BY b, j) SELECT b AS batch, round(avg(l), 6) AS loss FROM c GROUP BY b""")
 def contrastive_loss(spark, sf_dir):
-    """Contrastive loss of batches of 16 vectors against themselves."""
+    """Contrastive loss of batches of 16 vectors against scaled ones, mean of rows and columns."""
     e = _t(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("batch"), (F.col("vec_id") % 16).alias("i"), F.col("embedding").cast("array<double>").alias("v"))
-    s = evaluation.batch_similarity(e, "batch", "i", "v", "v", 10.0)
+    e = e.withColumn("r", F.transform("v", lambda x, k: x * ((k + 1) % 3)))
+    s = evaluation.batch_similarity(e, "batch", "i", "v", "r", 10.0)
     return evaluation.contrastive_loss(s, "batch").select("batch", F.round("loss", 6).alias("loss"))
 
 
 @query("SELECT page_id, replace(url, '_', '-') AS kebab, regexp_replace(url, '^.*/', '') AS base, CASE WHEN starts_with(url, '/') THEN url ELSE '/b/' || url END AS joined, CASE WHEN contains(url, '1') THEN 0 WHEN contains(url, '2') THEN 1 ELSE 2 END AS label FROM (SELECT page_id, lower(url) AS url FROM pages)")
 def path_functions(spark, sf_dir):
-    """Names, joins and priority labels of paths."""
+    """Names, joins and priority labels of paths."""
     p = _t(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("url"))
     return p.select("page_id", X.kebab(F.col("url")).alias("kebab"), X.base_name(F.col("url")).alias("base"), X.join_path(F.lit("/b"), F.col("url")).alias("joined"), X.first_match(F.col("url"), [("1", 0), ("2", 1)], 2).alias("label"))
 

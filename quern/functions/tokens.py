@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IGNORE = -100
-
+from .common import let as _let
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once a row: a lambda variable isn't inlined into inner loops."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+IGNORE = -100
 
 
 def positions(ids: Column, token: int) -> Column:
@@ -73,8 +70,22 @@ def truncate(ids: Column, n: int) -> Column:
 
 
 def position_ids(mask: Column) -> Column:
-    """Running count of ones less one, 0 where the mask is 0."""
-    return F.transform(mask, lambda m, i: F.when(m == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.slice(mask, 1, i + 1), F.lit(0).cast("long"), lambda s, x: s + x) - 1))
+    """Running count of ones less one, 0 where the mask is 0. A mask with one run of ones (padding on one side) needs index
+    arithmetic only; others are summed up to each place."""
+    zero = F.lit(0).cast("long")
+
+    def by_run(m: Column, first: Column, last: Column) -> Column:
+        return F.transform(m, lambda x, i: F.when((i >= first) & (i <= last), (i - first).cast("long")).otherwise(zero))
+
+    def by_sum(m: Column) -> Column:
+        return F.transform(m, lambda x, i: F.when(x == 0, zero).otherwise(F.aggregate(F.slice(m, 1, i + 1), zero, lambda s, y: s + y) - 1))
+
+    def of(m: Column) -> Column:
+        ends = F.struct((F.array_position(m, 1) - 1).alias("first"), (F.size(m) - F.array_position(F.reverse(m), 1)).alias("last"))
+        ones = F.aggregate(m, zero, lambda s, y: s + y)
+        return _let(ends, lambda e: F.when(ones == 0, F.transform(m, lambda x: zero)).when(ones == e["last"] - e["first"] + 1, by_run(m, e["first"], e["last"])).otherwise(by_sum(m)))
+
+    return F.when(F.size(mask) == 0, mask.cast("array<bigint>")).otherwise(_let(mask.cast("array<bigint>"), of))
 
 
 def range_positions(ranges: Column) -> Column:

@@ -59,3 +59,22 @@ def contrastive_loss(similarity: DataFrame, batch: str, both_sides: bool = True)
 
     rows = side("i", "j").unionByName(side("j", "i")) if both_sides else side("i", "j")
     return rows.groupBy(batch).agg(F.avg("loss").alias("loss"))
+
+
+def label_counts(df: DataFrame, label: str, labels: dict[str, int]) -> DataFrame:
+    """One row: rows of each named label, and all."""
+    return df.agg(*(F.count_if(F.col(label) == v).alias(k) for k, v in labels.items()), F.count(F.lit(1)).alias("total"))
+
+
+def all_finished(df: DataFrame, group: str, finished: str) -> DataFrame:
+    return df.groupBy(group).agg(F.bool_and(finished).alias("finished"))
+
+
+def counted_filter(df: DataFrame, keep) -> DataFrame:
+    """One row: rows before a filter, after it, and dropped by it (a null condition drops)."""
+    return df.agg(F.count(F.lit(1)).alias("before"), F.count_if(keep).alias("after")).withColumn("dropped", F.col("before") - F.col("after"))
+
+
+def expert_accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Mean of equality."""
+    return df.agg(F.avg((F.col(truth) == F.col(predicted)).cast("int")).alias("accuracy"))

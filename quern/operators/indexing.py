@@ -1,30 +1,35 @@
-"""Dense row numbers, batches and shards in a global order, without a single-partition window."""
+"""Dense row numbers, batches, splits and shards in a global order, without a single-partition window."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import fresh
+from ..sources.scratch import Stored
+
+_LOW = (1 << 33) - 1  # bits of a row id below the number of its partition
+
 
-def with_index(df: DataFrame, key: Column, *ties: str, name: str = "index", buckets: int | None = None) -> DataFrame:
-    """``df`` with a gapless 0-based number in the order of a long ``key``, then of the ``ties`` columns.
+def with_index(df: DataFrame, key: Column, *ties: str, name: str = "index", parts: int | None = None) -> DataFrame:
+    """``df`` with a gapless 0-based number in the order of ``key``, then of the ``ties`` columns, then of the scan.
 
-    Rows are bucketed between approximate quantiles of the key (literals, at most 1024), numbered inside their bucket, and
-    moved on by the rows of the buckets before: one shuffle of the rows, and one row for each bucket on the driver's side.
-    Null keys come first.
+    Rows are range-partitioned and sorted once and written to the shared folder with their place; the rows of the
+    partitions before (one total for each partition) are added to it. The scan's row number is a range column as well, so
+    one key with very many rows spreads over partitions. Null keys come first. ``name`` replaces a column of that name.
     """
-    n = buckets or min(1024, max(2, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    low = F.coalesce(key, F.lit(-(1 << 63)))
-    cuts = df.agg(F.percentile_approx(low, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c < low)) if cuts else F.lit(0)
-    before, moved = 0, {}
-    for b, c in sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect()):
-        moved[b], before = before, before + c
-    offset = F.create_map(*(F.lit(x) for b, o in moved.items() for x in (b, o))) if moved else F.create_map(F.lit(0), F.lit(0))
-    staged = df.withColumn("__bucket", bucket).withColumn("__key", low)
-    w = Window.partitionBy("__bucket").orderBy("__key", *ties)
-    return staged.withColumn(name, (F.row_number().over(w) - 1 + offset[F.col("__bucket")]).cast("long")).drop("__bucket", "__key")
+    key_, uid, at, part, before = fresh(df, "key", "uid", "at", "part", "before")
+    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = [key_, *ties, uid]
+    ranged = df.withColumn(key_, key).withColumn(uid, F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = Stored(ranged.withColumn(at, F.monotonically_increasing_id()).drop(key_, uid), "indexed").df.withColumn(part, F.shiftright(at, 33))
+    totals = placed.groupBy(part).agg(F.count(F.lit(1)).alias("rows"))
+    below = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range partition
+    totals = totals.select(part, F.coalesce(F.sum("rows").over(below), F.lit(0)).alias(before))
+    numbered = placed.join(F.broadcast(totals), part).withColumn(name, (F.col(before) + F.col(at).bitwiseAND(F.lit(_LOW))).cast("long"))
+    return numbered.select(*(c for c in df.columns if c.lower() != name.lower()), name)
 
 
 def seeded_key(seed: int, key: str) -> Column:
@@ -37,29 +42,59 @@ def shuffled(df: DataFrame, key: str, seed: int = 42, name: str = "index") -> Da
     return with_index(df, seeded_key(seed, key), key, name=name)
 
 
+def _cut(df: DataFrame, key: str, sizes: list[tuple[str, int]], seed: int) -> DataFrame:
+    (i,) = fresh(df, "i")
+    out, at = None, 0
+    for name, size in sizes:
+        at += size
+        out = F.when(F.col(i) < at, name) if out is None else out.when(F.col(i) < at, name)
+    return shuffled(df, key, seed, i).withColumn("split", out).drop(i)
+
+
 def split(df: DataFrame, key: str, shares: list[tuple[str, float]], seed: int = 42) -> DataFrame:
     """``df`` with ``split``: the shares of a seeded order, floors first, what is left to the first ones in turn."""
     n = df.count()
     sizes = [int(n * s) for _, s in shares]
     for i in range(n - sum(sizes)):
         sizes[i % len(sizes)] += 1
-    out, at = None, 0
-    for (name, _), size in zip(shares, sizes, strict=True):
-        at += size
-        out = F.when(F.col("__i") < at, name) if out is None else out.when(F.col("__i") < at, name)
-    return shuffled(df, key, seed, "__i").withColumn("split", out).drop("__i")
+    return _cut(df, key, [(name, size) for (name, _), size in zip(shares, sizes, strict=True)], seed)
+
+
+def train_test(df: DataFrame, key: str, test: float | None = None, train: float | None = None, seed: int = 42) -> DataFrame:
+    """``df`` with ``split``: a test share, rounded up, or else a train share, rounded down, of a seeded order."""
+    n = df.count()
+    tested = math.ceil(n * test) if test is not None else n - int(n * train)
+    return _cut(df, key, [("test", tested), ("train", n - tested)], seed)
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in the order, or all if there are fewer: a top-k, not a global sort."""
+    return df.orderBy(*order).limit(n)
+
+
+def rows_from(df: DataFrame, start: int, key: Column, *ties: str) -> DataFrame:
+    """Rows from place ``start`` of the order on, as a resumed run needs them."""
+    (i,) = fresh(df, "i")
+    return with_index(df, key, *ties, name=i).where(F.col(i) >= start).drop(i)
+
+
+def zip_rows(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, name: str = "index") -> DataFrame:
+    """The i-th row of one table beside the i-th of the other, each in its order, as far as the shorter one goes."""
+    return with_index(left, left_key, name=name).join(with_index(right, right_key, name=name), name)
 
 
 def shard(df: DataFrame, key: Column, n: int, shard_id: int, *ties: str, contiguous: bool = True) -> DataFrame:
     """Rows of one of n shards of the ordered table; contiguous shards differ by one row at most, the first are larger."""
-    total = df.count()
-    div, mod = divmod(total, n)
+    (i,) = fresh(df, "i")
+    numbered = with_index(df, key, *ties, name=i)
+    if not contiguous:
+        return numbered.where(F.col(i) % n == shard_id).drop(i)
+    div, mod = divmod(df.count(), n)
     start = div * shard_id + min(shard_id, mod)
-    numbered = with_index(df, key, *ties, name="__i")
-    mine = F.col("__i").between(start, start + div + (shard_id < mod) - 1) if contiguous else F.col("__i") % n == shard_id
-    return numbered.where(mine).drop("__i")
+    return numbered.where(F.col(i).between(start, start + div + (shard_id < mod) - 1)).drop(i)
 
 
 def batches(df: DataFrame, key: Column, size: int, *ties: str) -> DataFrame:
     """``df`` with batch_id and batch_idx of fixed-size batches in order."""
-    return with_index(df, key, *ties, name="__i").withColumn("batch_id", F.floor(F.col("__i") / size).cast("long")).withColumn("batch_idx", F.col("__i") % size).drop("__i")
+    (i,) = fresh(df, "i")
+    return with_index(df, key, *ties, name=i).withColumn("batch_id", F.floor(F.col(i) / size).cast("long")).withColumn("batch_idx", F.col(i) % size).drop(i)

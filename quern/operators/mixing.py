@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import fresh
 from .indexing import seeded_key, with_index
 
 
@@ -17,7 +18,8 @@ def concat(frames: list[DataFrame]) -> DataFrame:
 
 def weight_shares(weights: DataFrame, weight: str = "weight") -> DataFrame:
     """``weights`` (a short mixture table) with share: weight over the sum of weights."""
-    return weights.crossJoin(F.broadcast(weights.agg(F.sum(weight).alias("__all")))).withColumn("share", F.col(weight) / F.col("__all")).drop("__all")
+    (all_,) = fresh(weights, "all")
+    return weights.crossJoin(F.broadcast(weights.agg(F.sum(weight).alias(all_)))).withColumn("share", F.col(weight) / F.col(all_)).drop(all_)
 
 
 def interleave(sources: list[tuple[str, DataFrame, float]], key: str, seed: int = 42) -> DataFrame:
@@ -48,19 +50,25 @@ def interleave(sources: list[tuple[str, DataFrame, float]], key: str, seed: int
 
 def cap_per_class(df: DataFrame, label: str, order: str, n: int) -> DataFrame:
     """The first n rows of each class in order; the planner prunes them before the shuffle (WindowGroupLimit)."""
+    (i,) = fresh(df, "n")
     w = Window.partitionBy(label).orderBy(order)
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+    return df.withColumn(i, F.row_number().over(w)).where(F.col(i) <= n).drop(i)
 
 
 def balance(df: DataFrame, label: str, key: str, to, seed: int = 42) -> DataFrame:
-    """Every class sampled down, without replacement, to the number of rows of class ``to`` (smaller ones stay whole)."""
+    """Every class sampled down, without replacement, to the number of rows of class ``to`` (smaller ones stay whole).
+    Without a row of that class there is nothing to balance to, which is an error."""
     n = df.where(F.col(label) == to).count()
+    if not n:
+        raise ValueError(f"no row has the label {to}")
+    (i,) = fresh(df, "n")
     w = Window.partitionBy(label).orderBy(seeded_key(seed, key), key)
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+    return df.withColumn(i, F.row_number().over(w)).where(F.col(i) <= n).drop(i)
 
 
 def last_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
     """One row a key: the last in the order."""
+    (r,) = fresh(df, "r")
     rest = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r"))
-    return picked.select(key, *(F.col(f"__r.{c}").alias(c) for c in rest))
+    picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias(r))
+    return picked.select(key, *(F.col(f"{r}.{c}").alias(c) for c in rest))

@@ -7,10 +7,14 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import hadoop
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row for each line, malformed and blank ones as nulls with ``malformed`` set."""
@@ -31,23 +35,72 @@ def read_jsonl_matching(spark: SparkSession, path: str, schema: str, needles: li
     return spark.read.text(path).where(hit).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def read_table(spark: SparkSession, path: str, format: str | None = None, schema: str | None = None) -> DataFrame:
-    """By format, or by the path's suffix: parquet, orc, json(l), csv, tsv."""
-    kind = format or path.rstrip("/").rsplit(".", 1)[-1].lower()
+SUFFIXES = {"parquet": "parquet", "pq": "parquet", "orc": "orc", "json": "json", "jsonl": "json", "csv": "csv", "tsv": "tsv", "arrow": "arrow"}
+
+
+def read_table(spark: SparkSession, path: str | list[str], format: str | None = None, schema: str | None = None, config: str | None = None, data_dir: str | None = None) -> DataFrame:
+    """One table of a path or several: by format, by the path's suffix, or for a folder by the suffix of its files.
+
+    parquet, orc, json(l), csv, tsv, and folders of a saved dataset. ``data_dir`` is a folder below the path, and ``config``
+    one below that.
+    """
+    paths = ["/".join(x for x in (p.rstrip("/"), data_dir, config) if x) for p in ([path] if isinstance(path, str) else path)]
+    kind = format or SUFFIXES.get(paths[0].rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()) or _kind_of_folder(spark, paths[0])
+    if kind == "arrow":
+        return read_saved_dataset(spark, paths[0])
     reader = spark.read.schema(schema) if schema else spark.read
-    if kind in ("json", "jsonl"):
-        return reader.json(path)
     if kind in ("csv", "tsv"):
-        return reader.option("header", True).option("nanValue", "NaN").option("sep", "\t" if kind == "tsv" else ",").csv(path)
-    return reader.format({"pq": "parquet"}.get(kind, kind) if kind in ("parquet", "pq", "orc") else "parquet").load(path)
+        return reader.option("header", True).option("nanValue", "NaN").option("sep", "\t" if kind == "tsv" else ",").csv(paths)
+    return reader.format({"jsonl": "json", "pq": "parquet"}.get(kind, kind)).load(paths)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    files, at = hadoop(spark, folder)
+    return sorted(f.getPath().getName() for f in files.listStatus(at))
+
+
+def _kind_of_folder(spark: SparkSession, folder: str) -> str:
+    names = _names(spark, folder)
+    if {"dataset_info.json", "state.json"} <= set(names):
+        return "arrow"
+    kinds = {SUFFIXES[n.rsplit(".", 1)[-1].lower()] for n in names if n[0] not in "._" and n.rsplit(".", 1)[-1].lower() in SUFFIXES}
+    if len(kinds) != 1:
+        raise ValueError(f"files of one format are expected in {folder}, found: {', '.join(sorted(kinds)) or 'none'}")
+    return kinds.pop()
+
+
+def read_saved_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """A saved dataset: a folder with dataset_info.json, state.json and Arrow stream files. One task reads a file at a time."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    missing = {"dataset_info.json", "state.json"} - set(_names(spark, folder))
+    if missing:
+        raise ValueError(f"not a saved dataset, without {', '.join(sorted(missing))}: {folder}")
+
+    def schema_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                yield pa.RecordBatch.from_pydict({"schema": [pa.ipc.open_stream(data.as_buffer()).schema.serialize().to_pybytes()]})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                yield from pa.ipc.open_stream(data.as_buffer())
+
+    files = read_files(spark, folder, "*.arrow").select("bytes")
+    first = files.limit(1).mapInArrow(schema_of, "schema binary").first()
+    if first is None:
+        raise ValueError(f"no Arrow file in {folder}")
+    return files.mapInArrow(rows, from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(first[0]))))
 
 
 def read_parquet_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """path, bytes, format of the Parquet files in a folder (not below it); the last file's row of a path wins."""
+    """path, bytes, format of the Parquet files in a folder (not below it); the last row of a path in the last file wins."""
     from ..operators.mixing import last_wins
 
     rows = spark.read.option("pathGlobFilter", "*.parquet").schema("path string, bytes binary, format string").parquet(folder)
-    return last_wins(rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.col("_metadata.file_block_start")), "path", "__file", "__at").drop("__file", "__at")
+    placed = rows.select("path", "bytes", "format", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return last_wins(placed, "path", "file", "at").drop("file", "at")
 
 
 def read_files(spark: SparkSession, folder: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -71,18 +124,57 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.filter(F.split("value", ""), lambda c: c != "")).alias("index", "answer"))
 
 
-def read_archives(spark: SparkSession, folder: str, glob: str = "*.tar") -> DataFrame:
-    """archive, index, name and bytes of the files inside tar or zip archives; one task reads an archive at a time."""
+def read_volumes(spark: SparkSession, folder: str) -> DataFrame:
+    """path, shape and values (flat, as doubles) of .npy files; pickled arrays are refused."""
 
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def volumes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, data in zip(frame["path"], frame["bytes"], strict=True):
-                if path.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        found = [(n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                        found = [(m.name, t.extractfile(m).read()) for m in t if m.isfile()]
-                yield pd.DataFrame({"archive": path, "index": range(len(found)), "name": [n for n, _ in found], "bytes": [b for _, b in found]})
-
-    return read_files(spark, folder, glob).mapInPandas(members, "archive string, index long, name string, bytes binary")
+            found = [np.load(io.BytesIO(b), allow_pickle=False) for b in frame["bytes"]]
+            yield pd.DataFrame({"path": frame["path"], "shape": [list(map(int, x.shape)) for x in found], "values": [x.astype(float).ravel() for x in found]})
+
+    return read_files(spark, folder, "*.npy").mapInPandas(volumes, "path string, shape array<int>, values array<double>")
+
+
+def read_images(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
+    """path, height, width, channels and pixels of image files, decoded in the JVM; -1 and no pixels where that fails."""
+    reader = spark.read.format("image").option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    return reader.load(folder).select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
+
+
+def read_archives(spark: SparkSession, folder: str, glob: str = "*.tar") -> DataFrame:
+    """archive, index, name and bytes of the files inside tar or zip archives.
+
+    One task reads an archive at a time and hands its files on one by one; names that leave the archive's folder are an
+    error. ``index`` counts inside an archive (see numbered_archives).
+    """
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for i, (name, content) in enumerate(_members(path, data.as_buffer())):
+                    if name.startswith("/") or ".." in name.split("/"):
+                        raise ValueError(f"{path}: {name} leaves the archive's folder")
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([i], pa.int64()), pa.array([name]), pa.array([content], pa.binary())], names=["archive", "index", "name", "bytes"])
+
+    return read_files(spark, folder, glob).mapInArrow(members, "archive string, index long, name string, bytes binary")
+
+
+def _members(path: str, data) -> Iterator[tuple[str, bytes]]:
+    if path.endswith(".zip"):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for n in z.namelist():
+                if not n.endswith("/"):
+                    yield n, z.read(n)
+    else:
+        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+            for m in t:
+                if m.isfile():
+                    yield m.name, t.extractfile(m).read()
+
+
+def numbered_archives(members: DataFrame) -> DataFrame:
+    """``members`` with wds_index: the number of a file over all archives, in the order of their names."""
+    before = Window.orderBy("archive").rowsBetween(Window.unboundedPreceding, -1)  # one row for each archive
+    totals = members.groupBy("archive").agg(F.count(F.lit(1)).alias("n")).select("archive", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return members.join(totals, "archive").withColumn("wds_index", F.col("before") + F.col("index")).drop("before")

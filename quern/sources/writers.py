@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import hadoop
+
 
 def write_parquet(df: DataFrame, path: str, files: int | None = None) -> None:
     (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
@@ -18,3 +25,48 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def append_generations(df: DataFrame, path: str, index: str, text: str) -> None:
     """Lines of the form ``index. text``."""
     df.select(F.concat(F.col(index).cast("string"), F.lit(". "), F.col(text)).alias("value")).write.mode("append").text(path)
+
+
+def append_metrics(spark: SparkSession, path: str, step: int, metrics: dict[str, float]) -> None:
+    """A row for each metric of a step."""
+    rows = [(step, k, float(v)) for k, v in metrics.items()]
+    spark.createDataFrame(rows, "step long, metric string, value double").coalesce(1).write.mode("append").parquet(path)
+
+
+def write_images(rows: DataFrame, folder: str) -> DataFrame:
+    """Write ``bytes`` to ``path`` below ``folder``, which all executors must have mounted; returns the paths that failed
+    and why. Each file is written beside its place and moved there, so a repeated task leaves whole files. Paths that
+    leave the folder fail."""
+    root = os.path.abspath(re.sub("^file:/*", "/", folder))
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            failed = []
+            for path, data in zip(frame["path"], frame["bytes"], strict=True):
+                try:
+                    at = os.path.normpath(os.path.join(root, path))
+                    if not at.startswith(root + os.sep):
+                        raise ValueError("leaves the folder")
+                    os.makedirs(os.path.dirname(at), exist_ok=True)
+                    part = f"{at}.{os.getpid()}.part"
+                    with open(part, "wb") as f:
+                        f.write(data)
+                    os.replace(part, at)
+                except Exception as e:  # what can't be written is listed, not fatal
+                    failed.append((path, str(e)))
+            yield pd.DataFrame(failed, columns=["path", "error"])
+
+    return rows.select("path", "bytes").mapInPandas(write, "path string, error string")
+
+
+def resume_point(spark: SparkSession, folder: str, overwrite: bool = False) -> str | None:
+    """Name of the last ``checkpoint-N`` in an output folder, None where a run starts anew; a folder with other content
+    only is an error unless it may be overwritten."""
+    files, at = hadoop(spark, folder)
+    if overwrite or not files.exists(at):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(at)]
+    found = [n for n in names if n.startswith("checkpoint-") and n[11:].isdigit()]
+    if names and not found:
+        raise ValueError(f"{folder} exists and is not empty")
+    return max(found, key=lambda n: int(n[11:]), default=None)
