@@ -1,53 +1,21 @@
-"""Shared pieces of the corpus operators: tables in the shared folder, size-checked restriction, word patterns.
-
-Intermediate results that are read twice, or that end a long lineage, are written as Parquet into the folder that the
-cluster names in ``spark.checkpoint.dir``. A lost executor then costs a re-read, never a re-computation of the chain.
-"""
+"""Shared pieces of the corpus operators: size-checked restriction, word patterns, bound values."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import fresh, let
+from ..sources.scratch import Stored, fresh_path, shared_dir
+
+__all__ = ["SPACES", "SPACE_CLASS", "Stored", "fresh", "fresh_path", "let", "restrict", "shared_dir", "words_of"]
+
 #: A word is a maximal run of characters outside ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 #: A set of ids is broadcast only up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where ``spark.checkpoint.dir`` is unset (local tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="quern-"))
-        atexit.register(shutil.rmtree, _own[0], True)
-    return _own[0]
-
-
-class Stored:
-    """A DataFrame written to the shared folder; ``df`` reads it back, ``drop`` frees the disk early."""
-
-    def __init__(self, df: DataFrame, tag: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def restrict(df: DataFrame, ids: DataFrame, key: str, max_rows: int = BROADCAST_IDS) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids`` (a stored one-column table): a map-side filter while the counted ids
@@ -56,24 +24,6 @@ def restrict(df: DataFrame, ids: DataFrame, key: str, max_rows: int = BROADCAST_
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), key, "left_semi")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row: a lambda variable, so it is never inlined again."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     """Array of words of a text; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that clash with none of ``df``'s (compared without case)."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for n in names:
-        name = f"__{n}"
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Stored, fresh
+from .common import SPACES, Stored, fresh, let
 
 #: Lines of a run that counts as repeated whatever its content.
 RUN = 3
@@ -39,7 +39,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     sizes = [] if least_bytes is None else ["line_size", "size"]
     lines = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64(raw).alias("tag"), F.posexplode(F.filter(F.split(raw, "\n"), _HAS_WORD)).alias("k", "line")
-    ).select("doc", "tag", "k", *(F.octet_length("line").cast("long").alias(c) for c in sizes), F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
+    ).select("doc", "tag", "k", *(F.octet_length("line").cast("long").alias(c) for c in sizes), F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("key"))
     is_later = F.struct("doc", "tag", "k") != F.col("rank")
     cover = lambda rows, n: rows.where(is_later).select("doc", "tag", F.explode(F.sequence(F.col("k"), F.col("k") + (n - 1))).alias("k"))
     ranks, have, short = _ranked(lines, "lines"), 1, []
@@ -60,17 +60,16 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
 
 def _kept_text(raw, gone):
-    """Lines that stay: a line without a word always does."""
-    lines = F.split(raw, "\n")
-    nth = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.when(~_HAS_WORD(x), F.struct(s["k"].alias("k"), F.array_append(s["out"], x).alias("out"))).otherwise(
-            F.struct((s["k"] + 1).alias("k"), F.when(F.array_contains(gone, s["k"]), s["out"]).otherwise(F.array_append(s["out"], x)).alias("out"))
-        ),
-        lambda s: s["out"],
-    )
-    return F.array_join(nth, "\n")
+    """Lines that stay: a line without a word always does. Places of lines are set off against each other as sets of
+    integers, so the work is linear in the lines and in the removed ones."""
+
+    def of(lines):
+        worded = F.filter(F.transform(lines, lambda x, i: F.when(_HAS_WORD(x), i)), lambda i: i.isNotNull())
+        removed = let(worded, lambda at: F.transform(gone, lambda k: F.get(at, k)))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    return let(F.split(raw, "\n"), of)
 
 
 def _with_gone(docs: DataFrame, doc_id: str, text: str, run: int, least_bytes: int | None) -> tuple[DataFrame, str]:

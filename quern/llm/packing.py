@@ -1,4 +1,4 @@
-"""Token sequences of fixed capacity: first-fit decreasing with a tournament tree, in randomised groups of pieces."""
+"""Token sequences of fixed capacity: first-fit decreasing with a tournament tree, in randomised groups of documents."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ from .recent import Recent
 
 CAPACITY = 2048
 END_ID = 1
-#: Pieces in a group on average; a group is what one task packs at a time.
-GROUP_PIECES = 4000
+#: Documents in a group on average; a group is what one task packs at a time.
+GROUP_DOCUMENTS = 4000
 #: Chunks in a generation of those whose ids a worker remembers.
 CACHE = 250_000
 SPECIAL = {"<|endoftext|>": 50256}
@@ -43,6 +43,14 @@ class CachedEncoder:
         self.enc = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
         self.odd = regex.compile(r" \s|\s |^ | $|<\|endoftext\|>")
         self.cache = Recent(lambda chunk: np.array(self.enc.encode_ordinary(" " + chunk), dtype="<u4").tobytes(), CACHE)
+        self.sizes = Recent(lambda chunk: len(self.enc.encode_ordinary(" " + chunk)), CACHE)
+
+    def count(self, text: str) -> int:
+        """Number of ids."""
+        if not text or self.odd.search(text):
+            return len(self.whole(text)) // 4
+        head, *rest = text.split(" ")
+        return len(self.whole(head)) // 4 + sum(map(self.sizes.__getitem__, rest))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.enc.encode(text, allowed_special="all"), dtype="<u4").tobytes()
@@ -99,20 +107,24 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, seed: int = 11) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group_documents: int = GROUP_DOCUMENTS, seed: int = 11) -> DataFrame:
     """Pieces of all documents with sequence_id and offset: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the end id alone. Pieces fall into groups by a hash of (document, start, row) that spreads
-    repeated rows and very long documents; each group is packed on its own, and a sequence id is the group's number times
-    2^32 plus the bin's. Null ids are kept. An empty table gives no rows.
+    Null and empty texts are the end id alone. A document is cut into full pieces, each of which fills a sequence, and one
+    shorter rest. Documents fall into groups by a hash that spreads repeated rows; the rests of a group are packed on their
+    own, one for each document, so neither a long document nor a hot id makes a group large. The sequence id of a rest is
+    its group's number times 2^32 plus the bin's, that of a full piece 2^62 plus its row number. Null ids are kept. An
+    empty table gives no rows.
     """
     if ranks_path is None:
         import public_tokenizers
 
         ranks_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     cut = Stored(pieces(docs, doc_id, text, ranks_path, capacity, end_id), "pieces").df
-    groups = max(1, -(-cut.count() // group_pieces))
-    keyed = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
+    full = cut.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62))).withColumn("offset", F.lit(0).cast("long"))
+    rests = cut.where(F.col("length") < capacity)
+    groups = max(1, -(-rests.count() // group_documents))
+    keyed = rests.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -120,4 +132,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path
         return pdf.assign(sequence_id=(pdf["group"].to_numpy() << 32) | bins, offset=offsets).drop(columns="group")
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return keyed.groupBy("group").applyInPandas(one, out)
+    return keyed.groupBy("group").applyInPandas(one, out).unionByName(full)

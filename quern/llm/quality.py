@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, Stored, fresh, let, words_of
+from .common import SPACES, Stored, let, words_of
 
 #: Fixed values of the base rule.
 MIN_WORDS = 50
@@ -18,11 +18,13 @@ SYMBOLS = "#*$%&|<>"
 MAX_HOST_RATE = 0.5
 #: Rules that are judged by host: name and failing condition over the base columns.
 HOST_RULES = {
-    "short": "n_words < 50",
-    "repeats": "100 * n_repeat_words > 50 * n_words",
+    "short": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
     "symbols": "10 * n_symbols > word_chars",
     "dup_lines": "10 * n_dup_lines > 3 * n_lines",
 }
+#: Columns that judge adds.
+MADE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
 #: Rejected hosts are broadcast up to this many; beyond it a salted shuffle join is used.
 BROADCAST_HOSTS = 200_000
 #: Hosts with more than 1/HOT_PARTS of the rows are salted in that join; there are fewer than HOT_PARTS of them.
@@ -99,26 +101,26 @@ def base_stats(text: Column) -> Column:
     return let(text, of)
 
 
-def with_base(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` plus the base columns."""
-    (s,) = fresh(docs, "stats")
-    df = docs.select(*(docs[c] for c in (keep if keep is not None else docs.columns)), base_stats(docs[text]).alias(s))
-    return df.select(
-        *(df[c] for c in df.columns if c != s),
-        F.col(f"{s}.words.n").alias("n_words"),
-        F.col(f"{s}.word_chars").alias("word_chars"),
-        F.col(f"{s}.n_symbols").alias("n_symbols"),
-        F.col(f"{s}.lines.n").alias("n_lines"),
-        F.col(f"{s}.lines.dup").alias("n_dup_lines"),
-        F.col(f"{s}.words.rep").alias("n_repeat_words"),
-    ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+def with_base(rows: DataFrame, text: str = "text") -> DataFrame:
+    """host and row of ``rows`` plus the base columns of row.``text``."""
+    df = rows.select("host", "row", base_stats(F.col(f"row.{text}")).alias("stats")).select(
+        "host", "row",
+        F.col("stats.words.n").alias("n_words"),
+        F.col("stats.word_chars").alias("word_chars"),
+        F.col("stats.n_symbols").alias("n_symbols"),
+        F.col("stats.lines.n").alias("n_lines"),
+        F.col("stats.lines.dup").alias("n_dup_lines"),
+        F.col("stats.words.rep").alias("n_repeat_words"),
+    )
+    return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def host_rates(stats: DataFrame, rules: dict[str, str] = HOST_RULES, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per host: documents, and for each rule its failures and its rate shrunk towards the hosts' common rate.
 
     The beta prior's mean m and strength k come from the hosts by the method of moments: with p_h = f_h / n_h,
-    m = sum f / sum n and v = the document-weighted variance of p_h, k = m (1 - m) / v - 1, held to 1 .. 10,000 documents.
+    m = sum f / sum n and v = the document-weighted variance of p_h less what sampling adds to it, H m (1 - m) / sum n for
+    H hosts, k = m (1 - m) / v - 1, held to 1 .. 10,000 documents (10,000 where sampling explains all of the variance).
     The shrunk rate is (f_h + k m) / (n_h + k). Partial aggregation runs before the shuffle, so a hot host is one row a task.
     """
     fails = stats.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(c)).alias(f"f_{r}") for r, c in rules.items()))
@@ -126,7 +128,7 @@ def host_rates(stats: DataFrame, rules: dict[str, str] = HOST_RULES, max_rate: f
     mean = fails.agg(*(F.expr(f"try_divide(sum(f_{r}), sum(n))").alias(f"m_{r}") for r in rules))
     spread = fails.crossJoin(F.broadcast(mean)).agg(
         *(F.first(f"m_{r}").alias(f"m_{r}") for r in rules),
-        *(F.expr(f"try_divide(sum(n * pow(f_{r} / n - m_{r}, 2)), sum(n))").alias(f"v_{r}") for r in rules),
+        *(F.expr(f"greatest(try_divide(sum(n * pow(f_{r} / n - m_{r}, 2)) - count(*) * first(m_{r}) * (1 - first(m_{r})), sum(n)), 0D)").alias(f"v_{r}") for r in rules),
     )
     strength = spread.select(
         *(F.col(f"m_{r}") for r in rules),
@@ -138,18 +140,13 @@ def host_rates(stats: DataFrame, rules: dict[str, str] = HOST_RULES, max_rate: f
     return rates.withColumn("host_rejected", F.greatest(*(F.col(f"rate_{r}") for r in rules), F.lit(0.0)) > max_rate)
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, rules: dict[str, str] = HOST_RULES, max_rate: float = MAX_HOST_RATE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
-    """``docs`` (or its ``keep`` columns) with the base columns, ``base_failed``, ``host_rejected`` and ``kept``.
-
-    Null texts count as empty and so fail the base rule; a document without a host has no host verdict. Repeated rows
-    stay, each judged alike. Columns of ``docs`` that share a name with a column made here are replaced by it.
-    An empty table gives an empty result.
-    """
-    made = {"host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept"}
-    docs = docs.withColumn(h := fresh(docs, "host")[0], F.col(host).cast("string"))
-    carry = [c for c in (keep or docs.columns) if c not in (h,) and c.lower() not in made]
-    named = with_base(docs, text, [*carry, h]).withColumnRenamed(h, "host")
-    stats = Stored(named, "quality").df
+def _judged(docs: DataFrame, text: str, host: str, keep: list[str], rules: dict[str, str], max_rate: float, broadcast_hosts: int) -> DataFrame:
+    """row (a struct of the ``keep`` columns and the text) and the columns MADE: apart, so that no name of ``docs`` clashes."""
+    rows = docs.select(docs[host].cast("string").alias("host"), F.struct(*(docs[c] for c in dict.fromkeys([*keep, text]))).alias("row"))
+    based = with_base(rows, text)
+    if text not in keep:
+        based = based.withColumn("row", F.struct(*(F.col(f"row.{c}").alias(c) for c in keep)))
+    stats = Stored(based, "quality").df
     rejected = Stored(host_rates(stats, rules, max_rate).where("host_rejected").select("host", "host_rejected"), "hosts").df
     if rejected.count() <= broadcast_hosts:
         out = stats.join(F.broadcast(rejected), "host", "left")
@@ -159,6 +156,25 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
+def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, rules: dict[str, str] = HOST_RULES, max_rate: float = MAX_HOST_RATE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (all of them by default) and the columns MADE.
+
+    Null texts count as empty and so fail the base rule; a document without a host has no host verdict. Repeated rows
+    stay, each judged alike. A kept column that is called like one of MADE is an error: leave it out, or take ``accepted``.
+    An empty table gives an empty result.
+    """
+    keep = docs.columns if keep is None else keep
+    clash = sorted({c for c in keep if c.lower() in MADE})
+    if clash:
+        raise ValueError(f"columns have names of the result: {', '.join(clash)}")
+    return _judged(docs, text, host, keep, rules, max_rate, broadcast_hosts).select(*(F.col(f"row.{c}").alias(c) for c in keep), *MADE)
+
+
+def accepted(docs: DataFrame, text: str = "text", host: str = "source", rules: dict[str, str] = HOST_RULES, max_rate: float = MAX_HOST_RATE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """The rows of ``docs`` that judge keeps, with their own columns whatever they are called."""
+    return _judged(docs, text, host, docs.columns, rules, max_rate, broadcast_hosts).where("kept").select("row.*")
+
+
 def _salted(stats: DataFrame, rejected: DataFrame) -> DataFrame:
     """Left join on host that spreads hosts with over 1 / HOT_PARTS of the rows; by pigeonhole they are fewer than HOT_PARTS."""
     total = stats.count()

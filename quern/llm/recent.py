@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+#: Longer keys are computed each time: they hardly repeat, and without them entries have a bounded size.
+LONGEST_KEY = 64
+
 
 class Recent(dict):
     """``recent[key]`` computes what it doesn't hold. Two generations of ``limit`` entries bound it: what is used again
@@ -17,6 +20,8 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > LONGEST_KEY:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -1,16 +1,24 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
-A batch of changes (inserts, deletes, revised counts) is aggregated to one signed row for each group and committed under
-its batch id into the store's folder. Writing a batch again replaces its own folder, so a retry or a replay changes
-nothing. The totals are the sum of all batches; ``compact`` is that sum written as one batch.
+A batch of changes (inserts, deletes, revised counts) is aggregated to one signed row for each group and added to the
+totals before it. The new totals are written aside and then published by one small file of the store's log, which names
+them and the batch. What isn't in the log isn't there: a commit that dies half way leaves the old totals, and readers never
+see a part of one. A batch that the log has already is a replay: with the same content it changes nothing, with other
+content it is an error. A store has one writer at a time; readers may come at any time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words_of
+from ..sources.scratch import hadoop
+from .common import Stored
 
 GROUP = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -29,40 +37,79 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
-def _counted(docs: DataFrame, tokenizer: str, tokens: Column, keep: list[str] | None) -> DataFrame:
-    return docs.select(*(docs[c] for c in keep or []), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), tokens.cast("long").alias("tokens"))
+def count_tokens(docs: DataFrame, tokenizer: str, ranks_path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` and GROUP columns and tokens of each row, by the rank file at ``ranks_path`` (by default the public 50k one);
+    ``tokenizer`` is the version's name. Null texts have no token; null sources and languages are groups of their own."""
+    if ranks_path is None:
+        import public_tokenizers
 
+        ranks_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    kept = docs.select(*(docs[c] for c in keep or []), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), F.col(text).alias("tokens"))
+    names, last = kept.columns, len(kept.columns) - 1
+    counted = kept.withColumn("tokens", F.lit(0).cast("long")).schema
 
-def count_words(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` and GROUP columns and tokens of each row, a token being a word. Null texts have none; null sources and
-    languages are groups of their own."""
-    return _counted(docs, tokenizer, F.size(words_of(F.col(text))), keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .packing import CachedEncoder
 
+        encode = CachedEncoder(ranks_path)
+        for batch in batches:
+            n = [encode.count(t or "") for t in batch.column(last).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(n, pa.int64())], names=names)
 
-def count_characters(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The same with a token for every character."""
-    return _counted(docs, tokenizer, F.coalesce(F.length(text), F.lit(0)), keep)
+    return kept.mapInArrow(run, counted)
 
 
 class Rollup:
-    """The store at ``path`` in a shared folder."""
+    """The store at ``path`` in a shared folder. The log has one small file for each commit; ``compact`` starts it anew."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def commit(self, batch: str, deltas: DataFrame) -> None:
-        """Add a batch of signed rows; committing the same id again replaces it. Pre-aggregation runs before the shuffle,
-        so a hot group is one row a task. An empty batch is a valid commit."""
-        net = deltas.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
-        net.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def _log(self) -> list[dict]:
+        files, at = hadoop(self.spark, f"{self.path}/log")
+        if not files.exists(at):
+            return []
+        lines = self.spark.read.text(f"{self.path}/log").select("value").collect()  # one line a commit
+        return sorted((json.loads(r.value) for r in lines if r.value.endswith("}")), key=lambda e: e["nth"])
+
+    def commit(self, batch: str, deltas: DataFrame) -> bool:
+        """Add a batch of signed rows; False if it is a replay. Pre-aggregation runs before the shuffle, so a hot group is
+        one row a task. An empty batch is a valid commit. A batch's id may be any text."""
+        net = Stored(_summed(deltas.select(*GROUP, "docs", "tokens")), "net")
+        content = net.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*GROUP, "docs", "tokens").cast("decimal(38,0)"))).first()
+        content = [str(x) for x in content]
+        log = self._log()
+        for e in log:
+            if e["batch"] == batch:
+                net.drop()
+                if e["content"] != content:
+                    raise ValueError(f"batch {batch} was committed with other content")
+                return False
+        folder = f"totals-{uuid.uuid4().hex}"
+        _summed(self._totals(log).unionByName(net.df)).write.parquet(f"{self.path}/{folder}")
+        entry = {"nth": log[-1]["nth"] + 1 if log else 0, "batch": batch, "content": content, "totals": folder}
+        files, at = hadoop(self.spark, f"{self.path}/log/{entry['nth']:09d}.json")
+        out = files.create(at, False)  # an error if it is there: another writer
+        out.write(bytearray((json.dumps(entry) + "\n").encode()))
+        out.close()
+        net.drop()
+        return True
+
+    def _totals(self, log: list[dict]) -> DataFrame:
+        if not log:
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{log[-1]['totals']}")
 
     def totals(self) -> DataFrame:
-        """GROUP columns, docs and tokens of the groups that aren't empty."""
-        rows = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        """GROUP columns, docs and tokens of the groups that aren't empty, as of the last commit; no rows without one."""
+        return self._totals(self._log())
 
     def compact(self, target: str) -> Rollup:
         """A new store at ``target`` with the totals as its one batch."""
         out = Rollup(self.spark, target)
         out.commit("base", self.totals())
         return out
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")

@@ -26,6 +26,8 @@ TRAIN_ROWS = 10_000
 FOLDS = 5
 #: A feature is trained if its presence is this many standard errors more frequent in toxic rows, in at least MIN_ROWS rows.
 MIN_Z = 6.0
+#: Most features that are trained.
+MAX_FEATURES = 20_000
 MIN_ROWS = 8
 PREFIXES = (4, 5, 6)
 STEPS = 400
@@ -61,69 +63,94 @@ class Model:
         return sum(self.weights.get(f, 0.0) for f in features(token))
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Fit by full-batch Adam on the noisy-or likelihood. Without both labels the model is the default one."""
-    toxic = sum(labels)
-    if not toxic or toxic == len(labels):
+def fit(rows: list[tuple[int, int, list[tuple[int, list[int]]]]], names: list[str]) -> Model:
+    """Fit by full-batch Adam on the noisy-or likelihood. A row is a document's label, its number of sentences without a
+    trained feature, and the others as (times, features), features by their place in ``names``. Without both labels the
+    model is the default one."""
+    toxic, n = sum(r[0] for r in rows), len(rows)
+    if not toxic or toxic == n:
         return Model()
-    of = Recent(features, WORDS)
-    seen, hits = Counter(), Counter()
-    for t, y in zip(texts, labels, strict=True):
-        found = {f for w in set(t.split()) for f in of[w]}
-        seen.update(found)
-        if y:
-            hits.update(found)
-    n, clean = len(labels), len(labels) - toxic
-    chosen = []
-    for f, h in hits.items():
-        if seen[f] >= MIN_ROWS:
-            p = seen[f] / n
-            error = math.sqrt(max(p * (1 - p), 1e-9) * (1 / toxic + 1 / clean))
-            if (h / toxic - (seen[f] - h) / clean) / error >= MIN_Z:
-                chosen.append(f)
-    index = {f: i for i, f in enumerate(sorted(chosen))}
-    quiet = np.zeros(n)  # sentences without a trained feature, by document
-    owner, cell_sentence, cell_feature = [], [], []
-    for d, t in enumerate(texts):
-        for a, b in sentences(t):
-            cells = [index[f] for w in t[a:b].split() for f in of[w] if f in index]
-            if cells:
-                cell_sentence += [len(owner)] * len(cells)
-                cell_feature += cells
-                owner.append(d)
-            else:
-                quiet[d] += 1
-    owner, cs, cf = np.array(owner, int), np.array(cell_sentence, int), np.array(cell_feature, int)
-    y = np.array(labels, float)
+    clean = n - toxic
+    flat = [(d, times, cells) for d, r in enumerate(rows) for times, cells in r[2]]
+    owner, times = np.array([f[0] for f in flat], int), np.array([f[1] for f in flat], float)
+    cs = np.repeat(np.arange(len(flat)), [len(f[2]) for f in flat]).astype(int)
+    cf = np.array([c for f in flat for c in f[2]], int)
+    y, quiet = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
     share = np.where(y == 1, 0.5 * n / toxic, 0.5 * n / clean)  # both labels weigh alike
-    theta = np.concatenate([[-6.0], np.full(len(index), 0.5)])
+    theta = np.concatenate([[-6.0], np.full(len(names), 0.5)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         z = theta[0] + np.bincount(cs, theta[1:][cf], len(owner))
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-theta[0]))
-        log_clean = -np.bincount(owner, np.logaddexp(0, z), n) - quiet * math.log1p(math.exp(theta[0]))
+        log_clean = -np.bincount(owner, times * np.logaddexp(0, z), n) - quiet * math.log1p(math.exp(theta[0]))
         prob = np.clip(-np.expm1(log_clean), 1e-12, 1.0)
         slope = share * np.where(y == 1, -(1 - prob) / prob, 1.0) / n  # by 1 of sum of sentence probabilities
-        gs = slope[owner] * p
-        grad = np.concatenate([[gs.sum() + (slope * quiet).sum() * p0], np.bincount(cf, gs[cs], len(index)) + DECAY * theta[1:]])
+        gs = slope[owner] * p * times
+        grad = np.concatenate([[gs.sum() + (slope * quiet).sum() * p0], np.bincount(cf, gs[cs], len(names)) + DECAY * theta[1:]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(float(theta[0]), {f: float(theta[1 + i]) for f, i in index.items()})
+    return Model(float(theta[0]), {f: float(theta[1 + i]) for i, f in enumerate(names)})
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, seen, hits) of a part of the sample (label, text): documents with a feature, and toxic ones."""
+    of, seen, hits = Recent(features, WORDS), Counter(), Counter()
+    for batch in batches:
+        for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = {f for w in set(t.split()) for f in of[w]}
+            seen.update(found)
+            if y:
+                hits.update(found)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64()), pa.array([hits[f] for f in seen], pa.int64())], names=["feature", "seen", "hits"])
+
+
+def _cells(names: list[str]):
+    """(label, quiet, times, cells) of each document: what fit needs of it, sentences with equal features counted together."""
+    index = {f: i for i, f in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Recent(lambda w: [index[f] for f in features(w) if f in index], WORDS)
+        for batch in batches:
+            quiet, times, cells = [], [], []
+            for t in batch.column(2).to_pylist():
+                found = Counter(tuple(sorted(c for w in t[a:b].split() for c in of[w])) for a, b in sentences(t))
+                quiet.append(found.pop((), 0))
+                times.append(list(found.values()))
+                cells.append([list(k) for k in found])
+            ints = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(quiet, pa.int64()), pa.array(times, ints), pa.array(cells, pa.list_(ints))], names=["doc_id", "label", "quiet", "times", "cells"])
+
+    return run
 
 
 def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """Fit on at most ``rows`` labelled rows outside the held-out fold. Repeated labels of one id count as toxic if any is;
-    null ids and labels are not used. Only this bounded sample comes to the driver."""
+    of several texts under one id the one of the smallest hash counts; null ids and labels are not used.
+
+    Texts stay on the executors: they count features, and of each document return only which trained features stand
+    together in a sentence, and how often. At most ``max_features`` features of the largest deviation are trained.
+    """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
-    known = known.groupBy(doc_id).agg(F.max(label).alias("label")).orderBy(F.xxhash64(doc_id), doc_id).limit(rows)
+    known = known.groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = Stored(known, "labels").df
-    few = restrict(docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")), known.select(doc_id), doc_id).dropDuplicates([doc_id])
-    sample = few.join(F.broadcast(known), doc_id).orderBy(doc_id).select("text", F.col("label").cast("int")).collect()
-    return fit([r[0] for r in sample], [r[1] for r in sample])
+    few = restrict(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), known.select("doc_id"), "doc_id")
+    few = few.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = Stored(few.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text"), "sample").df  # known has at most ``rows`` rows
+    toxic, n = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    if not toxic or toxic == n:
+        return Model()
+    counted = sample.select("label", "text").mapInArrow(_presence, "feature string, seen long, hits long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("hits").alias("hits"))
+    p, clean = F.col("seen") / n, n - toxic
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / toxic + 1 / clean))
+    z = (F.col("hits") / toxic - (F.col("seen") - F.col("hits")) / clean) / error
+    chosen = counted.where(F.col("seen") >= MIN_ROWS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(max_features)
+    names = sorted(r.feature for r in chosen.collect())
+    found = sample.mapInArrow(_cells(names), "doc_id long, label int, quiet long, times array<long>, cells array<array<long>>").orderBy("doc_id").collect()
+    return fit([(r.label, r.quiet, list(zip(r.times, r.cells, strict=True))) for r in found], names)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,16 +168,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             for t in batch.column(1).to_pylist():
                 t = t or ""
                 spots = sentences(t)
-                total, best, at = 0.0, model.bias, 0
+                total, best, at = 0.0, -math.inf, 0
                 for k, (a, b) in enumerate(spots):
                     w = sum(map(weight.__getitem__, t[a:b].split()))
-                    if w:
-                        z = model.bias + w
-                        total += math.log1p(math.exp(z)) if z < 30 else z
-                        if z > best:
-                            best, at = z, k
-                    else:
-                        total += calm
+                    z = model.bias + w
+                    total += calm if not w else math.log1p(math.exp(z)) if z < 30 else z
+                    if z > best:
+                        best, at = z, k
                 for c, x in zip(cols, (-math.expm1(-total), len(spots), *spots[at], 1 / (1 + math.exp(-max(best, -700)))), strict=True):
                     c.append(x)
             kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, libraries and SQL on a small fixture with nulls, ties and copies."""
 
+import base64
 import hashlib
 import os
 import random
@@ -11,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -72,6 +74,30 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_accepted_keeps_columns_of_any_name(spark, docs):
+    named = docs.withColumns({"HOST": F.lit("mine"), "n_words": F.lit(777), "Kept": F.lit("k"), "row": F.lit(1)})
+    got = quality.accepted(named)
+    assert got.columns == named.columns
+    assert {(r.HOST, r.n_words, r.Kept, r.row) for r in got.collect()} == {("mine", 777, "k", 1)}
+    want = quality.judge(docs, keep=["doc_id"]).where("kept").count()
+    assert got.count() == want > 0
+    with pytest.raises(ValueError, match="Kept, n_words"):
+        quality.judge(named)
+
+
+def test_host_rates_shrink_less_where_hosts_differ(spark):
+    """Variance between hosts beyond what sampling explains sets the prior's strength."""
+    rows = [(h, h == "bad" or (i < 2 and h == "mid")) for h in ("bad", "mid", "good", "fine") for i in range(20)]
+    r = {x.host: x for x in quality.host_rates(spark.createDataFrame(rows, "host string, f boolean"), {"f": "f"}).collect()}
+    m = 22 / 80
+    v = sum(20 * (f / 20 - m) ** 2 for f in (20, 2, 0, 0)) / 80 - 4 * m * (1 - m) / 80
+    k = max(1.0, m * (1 - m) / v - 1)
+    assert abs(r["bad"].rate_f - (20 + k * m) / (20 + k)) < 1e-12
+    assert r["bad"].host_rejected and not r["mid"].host_rejected
+    same = spark.createDataFrame([(h, i % 2 == 0) for h in "ab" for i in range(10)], "host string, f boolean")
+    assert {x.rate_f for x in quality.host_rates(same, {"f": "f"}).collect()} == {0.5}
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_by_bytes(docs, 4).collect()
     sizes = [0] * 4
@@ -89,7 +115,7 @@ def test_packing(docs, empty):
     want = {}
     for i, t in pairs(docs):
         want.setdefault((i, tuple([*hf.encode(t, add_special_tokens=False).ids, 1])), 0)
-    rows = packing.pack(docs, capacity=64, group_pieces=30).collect()
+    rows = packing.pack(docs, capacity=64, group_documents=30).collect()
     assert all(r.length <= 64 for r in rows)
     spans = {}
     for r in rows:
@@ -174,6 +200,33 @@ def test_minhash(docs, empty, n, percent):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_two_texts_under_one_id(spark):
+    """Links follow texts, not ids: id 5 stands at a near copy of 3 and at a text of its own."""
+    a = " ".join(f"w{i}" for i in range(100))
+    near, own = a.replace("w50", "x50"), " ".join(f"v{i}" for i in range(100))
+    rows = [(3, a), (5, near), (5, own), (7, own), (7, own), (9, None), (None, a), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.near_duplicates(df, n=3, percent=85).collect())
+    want = [("3", 98, "3", True), ("5", 98, "3", False), ("5", 98, "5", True), ("7", 98, "5", False), ("7", 98, "5", False), ("9", 0, "9", True), ("None", 98, "None", True), ("11", 0, "11", True)]
+    assert got == sorted(want)
+    left = sorted((str(r.doc_id), r.text) for r in minhash.one_of_each(df, n=3, percent=85).collect() if r.text)
+    assert left == sorted([("3", a), ("5", own), ("None", a)])
+    repeated = df.where("doc_id = 3").unionByName(df).withColumn("tag", F.lit("mine"))
+    kept = minhash.one_of_each(repeated, n=3, percent=85)
+    assert kept.columns == repeated.columns
+    assert kept.where("doc_id = 3").count() == 1
+
+
+def test_links_at_the_edge_of_sizes(spark):
+    """A small set inside a large one, just linked and just not: sizes 85 and 100, 84 and 100."""
+    w = [f"w{i}" for i in range(102)]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:87])), (3, " ".join(w[:86]))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df.where("doc_id < 3"), n=3, percent=85).collect()}
+    assert got == {1: 1, 2: 1}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df.where("doc_id <> 2"), n=3, percent=85).collect()}
+    assert got == {1: 1, 3: 3}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 140)] + [(7, 7), (None, 3)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
@@ -224,6 +277,12 @@ def test_sampling_collides_like_generalised_jaccard(spark):
     assert abs(m.agg(F.avg((F.col("a") == F.col("b")).cast("int"))).first()[0] - want) < 0.03
 
 
+def test_a_text_of_very_many_lines(spark):
+    t = "\n".join(f"line {i % 3000}" for i in range(64_000))
+    got = lines.digest_lines(spark.createDataFrame([(1, t), (2, t)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_lines, r.n_removed_lines, r.n_runs) for r in sorted(got)] == [(1, 64_000, 61_000, 1), (2, 64_000, 64_000, 1)]
+
+
 def test_lines(docs, empty):
     assert lines.digest_lines(empty).count() == 0
     kept = {r.doc_id: r.text for r in lines.remove_lines(docs).collect()}
@@ -261,19 +320,103 @@ def test_lines_by_content(spark, docs, run, least):
     assert sorted((str(r.doc_id), r.text) for r in lines.remove_lines(df, run=run, least_bytes=least).collect()) == left
 
 
+def _count(name):
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(P.path(f"{name}.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens=packing.SPECIAL)
+    return lambda t: len(enc.encode(t or "", allowed_special="all"))
+
+
 def test_rollups(spark, docs, tmp_path):
     store = rollups.Rollup(spark, str(tmp_path / "r"))
-    counts = rollups.count_words(docs, "w")
-    for _ in range(2):
-        store.commit("a", rollups.inserts(counts))
+    assert store.totals().count() == 0
+    counts = rollups.count_tokens(docs, "w")
+    one, want = _count("byte_bpe_50k"), Counter()
+    for r in docs.collect():
+        want[r.source, r.lang, "docs"] += 1
+        want[r.source, r.lang, "tokens"] += one(r.text)
+    assert [store.commit("a/../b", rollups.inserts(counts)) for _ in range(2)] == [True, False]
     first = sorted(map(str, store.totals().collect()))
-    store.commit("b", rollups.deletes(counts))
+    assert {(r.source, r.lang, k): r[k] for r in store.totals().collect() for k in ("docs", "tokens")} == want
+    with pytest.raises(ValueError, match="other content"):
+        store.commit("a/../b", rollups.deletes(counts))
+    store.commit("c", rollups.deletes(counts))
     assert store.totals().count() == 0
-    for _ in range(2):
-        store.commit("c", rollups.inserts(counts))
+    store.commit("empty", rollups.inserts(counts.limit(0)))
+    store.commit("d", rollups.inserts(counts))
     assert sorted(map(str, store.compact(str(tmp_path / "s")).totals().collect())) == first
 
 
+def test_a_commit_that_dies_leaves_the_old_totals(spark, docs, tmp_path):
+    store = rollups.Rollup(spark, str(tmp_path / "r"))
+    counts = rollups.count_tokens(docs, "w")
+    store.commit("a", rollups.inserts(counts))
+    first = sorted(map(str, store.totals().collect()))
+    boom = counts.withColumn("tokens", F.when(F.col("source") == "hot", F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("tokens")))
+    with pytest.raises(Exception, match="lost"):
+        store.commit("b", rollups.inserts(boom))
+    spark.range(3).write.parquet(str(tmp_path / "r" / "totals-left-behind"))  # totals that no log entry names
+    assert sorted(map(str, store.totals().collect())) == first
+    assert store.commit("b", rollups.inserts(counts)) is True
+
+
+def test_token_counts_query(spark):
+    sf = "/root/testdata/sf0.001"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet").collect(), spark.read.parquet(f"{sf}/labels.parquet").collect()
+    toxic, one, many, want = {r.doc_id for r in lab if r.toxic == 1}, _count("byte_bpe_50k"), _count("byte_bpe_multi_50k"), Counter()
+    for r in d:
+        if r.doc_id not in toxic:
+            name, count = ("byte_bpe_multi_50k@1", many) if r.lang == "de" else ("byte_bpe_50k@1", one)
+            want[r.source, r.lang, name, "docs"] += 1
+            want[r.source, r.lang, name, "tokens"] += count(r.text)
+    got = queries.op5_token_counts(spark, sf).collect()
+    assert {(r.source, r.lang, r.tokenizer, k): r[k] for r in got for k in ("docs", "tokens")} == want
+
+
+def test_scores_against_the_formula(docs):
+    """Noisy-or over sentences by its definition, the located sentence, ties at the threshold, nulls and empty texts."""
+    model = toxicity.Model(-2.0, {"w:word1": 3.0, "4:word": 0.1, "6:word22": -0.5, "w:tail": 1.0})
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == docs.count()
+    by = {(r.doc_id, t): r for r, (i, t) in zip(sorted(got, key=lambda r: str(r.doc_id)), sorted(pairs(docs), key=lambda p: str(p[0])), strict=True)}
+    for (i, t), r in by.items():
+        spots = [(m.start(), m.end()) for m in re.finditer(r"(?s).+?(?:[.!?]+(?=\s)|\n|$)", t) if m.group().strip()] or [(0, len(t))]
+        left, best = 1.0, []
+        for a, b in spots:
+            words = [re.sub(r"^\W+|\W+$", "", w).lower() for w in t[a:b].split()]
+            z = -2.0 + sum(3.0 * (w == "word1") + 0.1 * (w[:4] == "word") - 0.5 * (w[:6] == "word22") + 1.0 * (w == "tail") for w in words)
+            p = 1 / (1 + np.exp(-z))
+            left *= 1 - p
+            best.append(p)
+        assert abs(r.score - (1 - left)) < 1e-9, (i, t)
+        assert r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0)
+        if t.strip():
+            assert abs(r.worst_score - max(best)) < 1e-9
+    half = toxicity.Model(0.0, {})
+    assert {(r.score, r.predicted) for r in toxicity.score(docs.where("text = 'one' or text = ''"), half).collect()} == {(0.5, 1)}
+
+
+def test_training_finds_the_sentence(spark):
+    rng = random.Random(5)
+    words = [f"plain{c}" for c in "abcdefghijklmnop"]
+    say = lambda: " ".join(rng.choice(words) for _ in range(6))
+    rows, lab = [], []
+    for i in range(400):
+        s = [say() for _ in range(4)]
+        if i % 3 == 0:
+            s[i % 4] += " vile"
+        rows.append((i, ". ".join(s) + "."))
+        lab.append((i, int(i % 3 == 0)))
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    for r in toxicity.score(d, model).collect():
+        assert r.predicted == int(r.doc_id % 3 == 0)
+        if r.predicted:
+            assert "vile" in rows[r.doc_id][1][r.worst_start : r.worst_end]
+    twice = toxicity.train(d.unionByName(d.where("doc_id < 50").withColumn("text", F.lit("other"))), labels)
+    assert twice == toxicity.train(d.where("doc_id < 50").withColumn("text", F.lit("other")).unionByName(d), labels)
+
+
 def test_toxicity(spark, sf_dir, docs, empty):
     d, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.score(d, toxicity.train(d, lab)).join(lab, "doc_id").where("held_out").select("toxic", "predicted").collect()
