@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.common import shared_dir
+from quern.llm.common import Stored
 from quern.llm.lines import LEAST_BYTES, remove_lines
-from quern.llm.minhash import near_duplicates
+from quern.llm.minhash import one_of_each
 from quern.llm.packing import pack
-from quern.llm.quality import judge
+from quern.llm.quality import accepted
 from quern.llm.suffixes import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or their host's verdict rejects go."""
-    return judge(docs).where("kept").select(*docs.columns)
+    return accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +23,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8 or more) stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    lost = near_lost(docs, kept)
-    return lost
-
-
-def near_lost(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of the kept ids; ids that are null are linked with nothing and stay."""
-    stay = docs.where("doc_id is not null").join(kept.hint("shuffle_merge"), "doc_id", "left_semi").select(*docs.columns)
-    return stay.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near duplicates (five words, similarity 0.8 or more) stays. Rows are judged by id and
+    text: repeated rows count once, and an id at two texts may stay for one of them. Rows with a null id stay."""
+    return one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +47,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, from the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        done = Stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            before.drop()  # nothing reads it any more
+        before, docs = done, done.df
     return docs
