@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,54 +13,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored
-from .recent import Recent
 
 CAPACITY = 2048
 END_ID = 1
 #: Documents in a group on average; a group is what one task packs at a time.
 GROUP_DOCUMENTS = 4000
-#: Chunks in a generation of those whose ids a worker remembers.
-CACHE = 250_000
 SPECIAL = {"<|endoftext|>": 50256}
+#: White space that is set apart where the pattern fails: Unicode's, a thousand characters or more.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class CachedEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, with the byte-level vocabulary of 50k.
-
-    A single space between two other characters always starts a pre-token, so a text splits there into chunks that are
-    encoded independently and remembered. Texts with a special token's string, or white space around a space, go whole.
-    """
+class Encoder:
+    """Ids of whole texts as little-endian uint32 bytes, with a byte-level vocabulary of ranks; the strings of special
+    tokens in a text are those tokens, as the tokenizers library has it."""
 
     def __init__(self, ranks_path: str):
         import base64
 
         import public_tokenizers
-        import regex
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.enc = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-        self.odd = regex.compile(r" \s|\s |^ | $|<\|endoftext\|>")
-        self.cache = Recent(lambda chunk: np.array(self.enc.encode_ordinary(" " + chunk), dtype="<u4").tobytes(), CACHE)
-        self.sizes = Recent(lambda chunk: len(self.enc.encode_ordinary(" " + chunk)), CACHE)
+        self.enc = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.enc.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the library's pattern gives up on very long white space
+            return self._with_long_spaces(text)
+
+    def _with_long_spaces(self, text: str) -> np.ndarray:
+        """Long white space apart from the rest. Before another character its last character belongs to what follows, as in
+        the pattern; up to there, or up to a special token or the end, it is one piece for the merges."""
+        found: list[int] = []
+        for part in re.split("(" + "|".join(map(re.escape, SPECIAL)) + ")", text):
+            if part in SPECIAL:
+                found.append(SPECIAL[part])
+                continue
+            at = 0
+            for m in LONG_SPACE.finditer(part):
+                stop = m.end() if m.end() == len(part) else m.end() - 1
+                found += self.enc.encode_ordinary(part[at : m.start()])
+                found += self.enc._encode_single_piece(part[m.start() : stop])
+                at = stop
+            found += self.enc.encode_ordinary(part[at:])
+        return np.array(found, dtype=np.uint32)
 
     def count(self, text: str) -> int:
-        """Number of ids."""
-        if not text or self.odd.search(text):
-            return len(self.whole(text)) // 4
-        head, *rest = text.split(" ")
-        return len(self.whole(head)) // 4 + sum(map(self.sizes.__getitem__, rest))
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.enc.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+        return len(self.ids(text))
 
     def __call__(self, text: str) -> bytes:
-        if not text or self.odd.search(text):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        return self.whole(head) + b"".join(map(self.cache.__getitem__, rest))
+        return self.ids(text).astype("<u4").tobytes()
 
 
 def pieces(docs: DataFrame, doc_id: str, text: str, ranks_path: str, capacity: int, end_id: int) -> DataFrame:
@@ -67,7 +73,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, ranks_path: str, capacity: i
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = CachedEncoder(ranks_path)
+        encode = Encoder(ranks_path)
         for batch in batches:
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

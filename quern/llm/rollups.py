@@ -49,9 +49,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, ranks_path: str | None = None,
     counted = kept.withColumn("tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .packing import CachedEncoder
+        from .packing import Encoder
 
-        encode = CachedEncoder(ranks_path)
+        encode = Encoder(ranks_path)
         for batch in batches:
             n = [encode.count(t or "") for t in batch.column(last).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(n, pa.int64())], names=names)

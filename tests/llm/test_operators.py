@@ -135,7 +135,7 @@ def test_packing(docs, empty):
 def test_encoders_match_the_library(name):
     odd = ["", "  a  b\n\n c\t d", " lead", "trail ", "x<|endoftext|>y", "<|startoftext|> A  ΟΔΟΣ Σ ", "É é ́x ñ 12345 don't I'LL", "日本語 😀😀", "\xa0a\xa0 b c \x1c d\x85e", "a\r\nb \r\n c", "İstanbul ǅ ﬁ"]
     hf = Tokenizer.from_file(P.path(f"{name}_bpe_{'49k' if name == 'word' else '50k'}.json"))
-    codec = bpe.Codec(P.path("word_bpe_49k.json")) if name == "word" else packing.CachedEncoder(P.path("byte_bpe_50k.tiktoken"))
+    codec = bpe.Codec(P.path("word_bpe_49k.json")) if name == "word" else packing.Encoder(P.path("byte_bpe_50k.tiktoken"))
     for t in [*odd, *(x or "" for x in texts())]:
         e = hf.encode(t, add_special_tokens=False).ids
         got = codec(t) if name == "byte" else codec.encode(t)[0]
@@ -144,6 +144,18 @@ def test_encoders_match_the_library(name):
             assert codec.encode(t)[1] == hf.decode(e, skip_special_tokens=False)
 
 
+def test_encoders_take_very_long_texts():
+    enc, codec = packing.Encoder(P.path("byte_bpe_50k.tiktoken")), bpe.Codec(P.path("word_bpe_49k.json"))
+    hf = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    gap = " " * 3000 + "\n" * 1500
+    for t in (f"a{gap}b c", f"{gap}<|endoftext|>{gap}", f"x {gap}  y{gap}", f"{gap} ", "\u2003" * 1200 + "é"):
+        want = hf.encode(t, add_special_tokens=False).ids
+        assert enc.ids(t).tolist() == enc._with_long_spaces(t).tolist() == want
+    for t in (" " * 1_000_000, "x" * 1_000_000, "ab é " * 200_000):
+        assert enc.count(t) > 0
+        assert codec.encode(t)[0] == b"" or t.strip()
+
+
 def test_bpe_query(docs, empty):
     hf = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want = sorted((i is None, i, hashlib.sha256(np.array(hf.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for i, t in pairs(docs) if i is not None)
