@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lines, minhash, packing, quality, rollups, sharding, suffixes, toxicity
+from . import bpe, clusters, decontamination, fingerprints, lines, minhash, packing, quality, resampling, rollups, sharding, suffixes, toxicity
 from .common import Stored, fresh_path
 
 
@@ -69,7 +70,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_bpe, op5_token_counts, op6_sharding, op7_suffix_dedup, op8_minhash, op9_fingerprints, op10_toxicity)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_bpe, op5_token_counts, op6_sharding, op7_suffix_dedup, op8_minhash, op9_fingerprints, op10_toxicity, op11_resampling, op12_clusters, op13_decontamination)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -106,6 +122,58 @@ kept AS (SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FI
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed_lines, CAST(coalesce(runs, 0) AS BIGINT) AS n_runs, sha256(text) AS kept_sha256 FROM kept LEFT JOIN runs USING (doc_id)
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+OP11_SQL = f"""
+WITH RECURSIVE step AS (SELECT i, i AS c, 0 AS n FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, {_BIT}, n + 1 FROM step WHERE n < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM step WHERE n = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_ITEM_WORDS} AS ws FROM documents), b AS (SELECT {_ITEM_WORDS} AS ws FROM benchmark),
+df AS (SELECT rid, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM b),
+h AS (SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda i: CAST(('0x' || substr(hex(encode(f)), 2 * i + 1, 2)) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT f FROM df UNION SELECT f FROM bf), tab),
+dh AS (SELECT rid, bucket FROM df JOIN h USING (f)),
+s AS (SELECT bucket, count(*) AS s FROM dh GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bf JOIN h USING (f) GROUP BY bucket),
+a AS (SELECT (SELECT count(*) FROM dh) AS s_all, (SELECT count(*) FROM bf) AS t_all),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket), a),
+w AS (SELECT rid, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM dh JOIN g USING (bucket) GROUP BY rid),
+r AS (SELECT rid, doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST(('0x' || left(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8)) AS BIGINT) AS h FROM d LEFT JOIN w USING (rid)),
+k AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM r),
+e AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS nth, count(*) OVER () AS n FROM k WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN nth <= 25 * e.n // 100 THEN nth END AS BIGINT) AS rank FROM k LEFT JOIN e USING (rid)
+"""
+
+
+def _op12_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    parts = [
+        f"v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS INT) AS c, v AS m FROM v QUALIFY c < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"d{r} AS (SELECT rid, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r})")
+        parts.append(f"a{r} AS (SELECT rid, min(d) AS d, CAST(arg_min(c, (d, c)) AS INT) AS c FROM d{r} GROUP BY rid)")
+        if r < rounds:
+            parts.append(f"e{r} AS (SELECT c, i, CAST(sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*) AS BIGINT) // count(*) AS x FROM a{r} JOIN v USING (rid), (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY c, i)")
+            parts.append(f"n{r} AS (SELECT c, list(CAST(x AS BIGINT) ORDER BY i) AS m FROM e{r} GROUP BY c)")
+            parts.append(f"c{r + 1} AS (SELECT c, coalesce(n{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN n{r} USING (c))")
+    return f"""WITH {', '.join(parts)}, i AS (SELECT c, sum(d) AS cluster_inertia, sum(sum(d)) OVER () AS inertia FROM a{rounds} GROUP BY c)
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(cluster_inertia AS BIGINT) AS cluster_inertia, CAST(inertia AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} USING (c) JOIN i USING (c)"""
+
+
+OP13_SQL = f"""
+WITH i AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark), d AS (SELECT row_number() OVER () AS rid, doc_id, {_ITEM_WORDS} AS ws FROM documents),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[p:p + n - 1], ' ') AS w FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)),
+dw AS (SELECT rid, n, p, array_to_string(ws[p:p + n - 1], ' ') AS w FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
+m AS (SELECT rid, p, n, item_id FROM dw JOIN iw USING (n, w)),
+h AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(p, p + n)) AS p FROM (SELECT DISTINCT rid, p, n FROM m)) GROUP BY rid),
+x AS (SELECT rid, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT rid, coalesce(CAST(item_id AS VARCHAR), '') AS k FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN x USING (rid)
+"""
+
 #: SQL has no tokenizers, so op5_token_counts has none; its test counts with the library.
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op11_resampling": OP11_SQL, "op12_clusters": _op12_sql(), "op13_decontamination": OP13_SQL}
 
