@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from .catalog import _t, query
 from .functions import images as I  # noqa: E741
 from .functions import text as X
 from .operators import evaluation, modalities
-from .sources import readers, registries, writers
+from .sources import archives, payloads, readers, registries, writers
 from .sources.scratch import fresh_path
 from .streaming import progress
 
@@ -153,6 +154,37 @@ def valid_images(spark, sf_dir):
     return registries.registry_of("path", spark, folder).check(samples).select("vec_id")
 
 
+@query("""SELECT vec_id, md5(array_to_string(list_transform(range(CAST((1 + vec_id % 3) * (2 + vec_id % 5) * 3 AS BIGINT)), lambda i: printf('%02X', (i * 7 + vec_id) % 256)), '')) AS digest FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id % 7 <> 0""")
+def rgb_images(spark, sf_dir):
+    """All pixels of image files, red first."""
+    folder, _ = _image_files(spark, sf_dir)
+    rgb = readers.rgb_pixels(F.col("pixels"), F.col("channels"))
+    return readers.read_images(spark, folder).where("height > 0").select(_vec_id(), F.md5(F.hex(rgb).cast("binary")).alias("digest"))
+
+
+@query("SELECT vec_id, vec_id % 11 <> 0 AND vec_id % 7 <> 0 AS ok FROM embeddings")
+def header_valid_images(spark, sf_dir):
+    """Samples with an image whose header can be read; only the headers of referenced files are."""
+    folder, e = _image_files(spark, sf_dir)
+    item = F.struct(F.lit("image").alias("type"), F.concat(F.lit("class"), "label", F.lit("/"), "vec_id", F.lit(".png")).alias("value"))
+    samples = e.select("vec_id", F.array(item).alias("modalities"))
+    kept = registries.registry_of("path", spark, folder).with_headers(samples).select("vec_id", F.lit(True).alias("ok"))
+    return samples.select("vec_id").join(kept, "vec_id", "left").select("vec_id", F.coalesce("ok", F.lit(False)).alias("ok"))
+
+
+@query("""WITH m AS (SELECT doc_id, unnest([doc_id // 2, doc_id + 1]) AS ref, unnest([0, 1]) AS pos FROM documents), r AS (SELECT doc_id // 2 AS path, md5(arg_max(text, doc_id)) AS digest FROM documents GROUP BY doc_id // 2)
+SELECT doc_id, string_agg(coalesce(digest, '-'), ',' ORDER BY pos) AS digests FROM m LEFT JOIN r ON r.path = m.ref GROUP BY doc_id""")
+def table_registry(spark, sf_dir):
+    """Payloads from a bucketed registry table, joined by place and fetched last."""
+    d, table = _t(spark, sf_dir, "documents"), f"registry_{uuid.uuid4().hex}"
+    half = F.floor(F.col("doc_id") / 2).cast("string")
+    payloads.write_registry(d.select(half.alias("path"), F.col("text").cast("binary").alias("bytes"), "doc_id"), table, 8, F.col("doc_id"), location=fresh_path(spark, "registry"))
+    item = lambda v: F.struct(F.lit("text").alias("type"), v.cast("string").alias("value"))
+    samples = d.select("doc_id", F.array(item(half), item(F.col("doc_id") + 1)).alias("modalities"))
+    merged = registries.merged(samples, registries.registry_of("table", spark, table), strict=False)
+    return merged.select("doc_id", F.array_join(F.transform("modalities", lambda m: F.coalesce(F.md5(m["value"]), F.lit("-"))), ",").alias("digests"))
+
+
 @query("SELECT vec_id, 27 AS n, TRUE AS near FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id % 7 <> 0")
 def image_tensors(spark, sf_dir):
     """Images resized, cut and normalised for an encoder."""
@@ -203,6 +235,15 @@ def archive_registry(spark, sf_dir):
     return merged.select("sample", F.md5(F.col("modalities")[0]["value"]).alias("digest"))
 
 
+@query("SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS number, conv_id || '/' || turn || '.txt' AS name, md5(text) AS digest FROM conversations")
+def archive_members(spark, sf_dir):
+    """Members of tar archives by number, in two reads whose filters reach the source."""
+    index = archives.ArchiveIndex.build(spark, _archives(spark, sf_dir, "tar")[0])
+    half = index.members().count() // 2
+    both = index.read().where(F.col("number") < half).unionByName(index.read().where(F.col("number") >= half))
+    return both.select("number", "name", F.md5("bytes").alias("digest"))
+
+
 @query("SELECT vec_id, '2x32' AS shape, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
 def volumes(spark, sf_dir):
     """Arrays in .npy files."""

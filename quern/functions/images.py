@@ -68,6 +68,38 @@ def decode_png(data: bytes) -> np.ndarray:
     return palette[pixels[:, :, 0]] if colour == 3 else pixels
 
 
+def verified_png(read, step: int = 1 << 20) -> int | None:
+    """Height of the PNG that ``read(offset, size)`` gives, if its pieces are whole and unpack to the lines that its header
+    promises; None if they don't. Pixels aren't made, and about ``step`` bytes are held at a time."""
+    try:
+        head = read(0, 33)
+        if head[:8] != _PNG or head[8:16] != b"\0\0\0\rIHDR" or zlib.crc32(head[12:29]) != int.from_bytes(head[29:33]):
+            return None
+        width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", head[16:29])
+        line = 1 + (width * depth * _CHANNELS[colour] + 7) // 8
+        unpack, n, at = zlib.decompressobj(), 0, 33
+        while True:
+            size, kind = struct.unpack(">I4s", read(at, 8))
+            check, left, place = zlib.crc32(kind), size, at + 8
+            while left:
+                part = read(place, min(step, left))
+                if not part:
+                    return None
+                check, left, place = zlib.crc32(part, check), left - len(part), place + len(part)
+                while kind == b"IDAT" and part:
+                    n += len(unpack.decompress(part, step))
+                    part = unpack.unconsumed_tail
+            if read(place, 4) != check.to_bytes(4):
+                return None
+            if kind == b"IEND":
+                break
+            at = place + 4
+        n += len(unpack.flush())
+        return height if unpack.eof and (n > 0 if interlaced else n == line * height) else None
+    except (struct.error, zlib.error, KeyError):
+        return None
+
+
 def _unfiltered(kind: int, line: np.ndarray, up: np.ndarray, n: int) -> np.ndarray:
     if kind == 0:
         return line

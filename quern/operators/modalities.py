@@ -26,22 +26,26 @@ def exploded(samples: DataFrame, modalities: str = "modalities") -> DataFrame:
     return each.withColumn("rest", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("rest")))
 
 
-def _looked_up(each: DataFrame, registry: DataFrame, path: str, columns: list[str], order: list[str]) -> DataFrame:
+def _looked_up(each: DataFrame, registry: DataFrame, path: str, columns: list[str], order: list[str], unique: bool = False) -> DataFrame:
     """``each`` with hit and v (a struct of the registry's columns). A path that stands in the registry twice has one row:
-    the last in ``order``, or without an order the one of the largest columns."""
-    found = registry.select(F.col(path).cast("string").alias("path"), F.struct(*columns).alias("v"), F.struct(*(order or columns)).alias("o"))
-    one = last_wins(found.where(F.col("path").isNotNull()), "path", "o").select(F.col("path").alias("__path"), "v")
+    the last in ``order``, or without an order the one of the largest columns. A ``unique`` registry has each path once
+    and is joined as it is, in the partitioning that it has."""
+    if unique:
+        one = registry.where(F.col(path).isNotNull()).select(F.col(path).cast("string").alias("__path"), F.struct(*columns).alias("v"))
+    else:
+        found = registry.select(F.col(path).cast("string").alias("path"), F.struct(*columns).alias("v"), F.struct(*(order or columns)).alias("o"))
+        one = last_wins(found.where(F.col("path").isNotNull()), "path", "o").select(F.col("path").alias("__path"), "v")
     return each.join(one, F.col("m.value").cast("string") == F.col("__path"), "left").withColumn("hit", F.col("__path").isNotNull()).drop("__path")
 
 
-def merge_registry(samples: DataFrame, registry: DataFrame, value: str = "payload", modalities: str = "modalities", strict: bool = False, path: str = "path", order: list[str] | None = None) -> DataFrame:
+def merge_registry(samples: DataFrame, registry: DataFrame, value: str = "payload", modalities: str = "modalities", strict: bool = False, path: str = "path", order: list[str] | None = None, unique: bool = False) -> DataFrame:
     """``samples`` with each attachment's value replaced by what ``registry`` (path, value) has for it, in place and order.
 
     Of an attachment's fields those in ALLOWED stay. A miss gives null or, if strict, an error. Null and empty lists, null
     attachments and repeated rows stay as they are; of a path's several rows the last in ``order`` counts.
     """
     fields = [f.name for f in samples.schema[modalities].dataType.elementType.fields if f.name in ALLOWED and f.name != "value"]
-    found = _looked_up(exploded(samples, modalities), registry, path, [value], order or [])
+    found = _looked_up(exploded(samples, modalities), registry, path, [value], order or [], unique)
     payload = F.col(f"v.{value}")
     if strict:
         missed = F.raise_error(F.concat(F.lit("not in the registry: "), F.coalesce(F.col("m.value").cast("string"), F.lit("null"))))
@@ -52,10 +56,10 @@ def merge_registry(samples: DataFrame, registry: DataFrame, value: str = "payloa
     return merged.select(*(F.when(F.col(f"rest.{c}").isNotNull(), F.transform("l", lambda x: x["item"])).alias(c) if c == modalities else F.col(f"rest.{c}").alias(c) for c in samples.columns))
 
 
-def valid_samples(samples: DataFrame, registry: DataFrame, modalities: str = "modalities", min_height: int | None = 1, path: str = "path", height: str = "height") -> DataFrame:
+def valid_samples(samples: DataFrame, registry: DataFrame, modalities: str = "modalities", min_height: int | None = 1, path: str = "path", height: str = "height", unique: bool = False) -> DataFrame:
     """Samples whose every attachment is in ``registry`` (path, height) with a greater height, or with ``min_height`` None
     just in it. Samples without attachments stay; each row is judged for itself."""
-    found = _looked_up(exploded(samples, modalities), registry, path, [height] if min_height is not None else [path], [])
+    found = _looked_up(exploded(samples, modalities), registry, path, [height] if min_height is not None else [path], [], unique)
     good = F.col("hit") if min_height is None else F.col("hit") & F.coalesce(F.col(f"v.{height}") > min_height, F.lit(False))
     judged = found.groupBy("uid").agg(F.first("rest", ignorenulls=True).alias("rest"), F.bool_and(F.col("pos").isNull() | good).alias("ok"))
     return judged.where("ok").select("rest.*")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import hadoop
@@ -135,13 +135,26 @@ def read_volumes(spark: SparkSession, folder: str) -> DataFrame:
     return read_files(spark, folder, "*.npy").mapInPandas(volumes, "path string, shape array<int>, values array<double>")
 
 
-def read_images(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """path, height, width, channels and pixels of image files, decoded in the JVM; -1 and no pixels where that fails."""
+def read_images(spark: SparkSession, folder: str | list[str], glob: str | None = None) -> DataFrame:
+    """path, height, width, channels and pixels of the image files of a folder or of a list, decoded in the JVM; -1 and no
+    pixels where that fails. The source's pixels are in the order blue, green, red, as rgb_pixels turns round."""
     reader = spark.read.format("image").option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
     return reader.load(folder).select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
 
 
+def rgb_pixels(pixels: Column, channels: Column) -> Column:
+    """Three bytes a pixel, red, green, blue, of the image source's pixels of 1, 3 or 4 channels; null where there are none.
+    Only bytes of a few rows at a time are held."""
+
+    @F.pandas_udf("binary")
+    def rgb(data: pd.Series, n: pd.Series) -> pd.Series:
+        order = {1: [0, 0, 0], 3: [2, 1, 0], 4: [2, 1, 0]}
+        return pd.Series([np.frombuffer(d, np.uint8).reshape(-1, k)[:, order[k]].tobytes() if d else None for d, k in zip(data, n, strict=True)], dtype=object)
+
+    return rgb(pixels, channels)
+
+
 def read_archives(spark: SparkSession, folder: str, glob: str = "*.tar") -> DataFrame:
     """archive, index, name and bytes of the files inside tar or zip archives.
 
