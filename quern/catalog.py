@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions import tokens as T
 from .functions import vectors as V
-from .operators import evaluation, indexing, mixing, modalities
+from .operators import evaluation, indexing, mixing, modalities, running
 from .plans import supervision
 
 QUERIES: dict = {}
@@ -144,6 +144,15 @@ def running_mean(spark, sf_dir):
     return evaluation.running_mean(_t(spark, sf_dir, "events"), "value", "user_id", "event_id").select("user_id", "event_id", F.round("running_mean", 6).alias("running_mean"))
 
 
+@query("""WITH r AS (SELECT event_id, sum(CAST(value AS DECIMAL(18, 4))) OVER w AS s, count(value) OVER w AS n FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, CAST(s AS DOUBLE) AS running_sum, n AS running_count, CAST(s AS DOUBLE) / n AS running_mean FROM r""")
+def running_totals(spark, sf_dir):
+    """Running sum, count and mean over all events as one group, in exact decimals (A10)."""
+    e = _t(spark, sf_dir, "events").select("event_id", "value")
+    r = running.running(e, "value", None, F.col("event_id"), stretch=4096, exact="decimal(18,4)")
+    return r.select("event_id", F.col("running_sum").cast("double").alias("running_sum"), "running_count", "running_mean")
+
+
 @query("SELECT round(avg(m), 6) AS mean FROM (SELECT avg(value) AS m FROM events GROUP BY event_id // 64)")
 def mean_of_batch_means(spark, sf_dir):
     """Unweighted mean of batch means."""
@@ -180,10 +189,10 @@ def strided_shard(spark, sf_dir):
 @query("""WITH d AS (SELECT i AS draw, CAST(('0x' || left(md5('42-' || i), 8)) AS BIGINT) / 4294967296.0 AS u FROM (SELECT unnest(range(CAST((SELECT count(*) + 1 FROM documents) AS BIGINT))) AS i)),
 s AS (SELECT draw, CASE WHEN u < CAST(0.5 AS DOUBLE) THEN 'en' WHEN u < CAST(0.75 AS DOUBLE) THEN 'fr' WHEN u < CAST(0.875 AS DOUBLE) THEN 'de' ELSE 'es' END AS source_name FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY draw) - 1 AS nth FROM s),
 r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS nth, count(*) OVER (PARTITION BY lang) AS c FROM documents),
-stop AS (SELECT min(draw) AS stop FROM n JOIN (SELECT DISTINCT lang, c FROM r) x ON x.lang = n.source_name WHERE nth >= c)
-SELECT r.doc_id, n.source_name, n.draw FROM n JOIN r ON r.lang = n.source_name AND r.nth = n.nth, stop WHERE n.draw < coalesce(stop, 9223372036854775807)""")
+stop AS (SELECT min(draw) AS stop FROM n JOIN (SELECT DISTINCT lang, c FROM r) x ON x.lang = n.source_name WHERE nth = c - 1)
+SELECT r.doc_id, n.source_name, n.draw FROM n JOIN r ON r.lang = n.source_name AND r.nth = n.nth, stop WHERE n.draw <= stop""")
 def weighted_interleave(spark, sf_dir):
-    """Interleave all languages by weights 4 : 2 : 1 : 1 until one runs out."""
+    """Interleave all languages by weights 4 : 2 : 1 : 1 up to the draw that takes the last row of one."""
     d = _t(spark, sf_dir, "documents").select("doc_id", "lang")
     sources = [(x, d.where(F.col("lang") == x), w) for x, w in (("en", 4.0), ("fr", 2.0), ("de", 1.0), ("es", 1.0))]
     return mixing.interleave(sources, "doc_id").select("doc_id", "source_name", "draw")
@@ -276,6 +285,14 @@ def path_functions(spark, sf_dir):
     return p.select("page_id", X.kebab(F.col("url")).alias("kebab"), X.base_name(F.col("url")).alias("base"), X.join_path(F.lit("/b"), F.col("url")).alias("joined"), X.first_match(F.col("url"), [("1", 0), ("2", 1)], 2).alias("label"))
 
 
+@query(f"""WITH {_RENDER}, c AS (SELECT conv_id, input_ids[1:32] AS ids, labels[1:32] AS lab FROM samples) SELECT conv_id, {_CSV.format(c='ids')} AS input_ids, {_CSV.format(c='lab')} AS labels,
+array_to_string(list_transform(ids, lambda x: 1), ',') AS attention_mask, array_to_string(range(len(ids)), ',') AS position_ids FROM c""")
+def truncated_rows(spark, sf_dir):
+    """Ids, labels, mask and positions cut to one length together."""
+    s = T.truncated(supervision.supervised(_t(spark, sf_dir, "conversations")).withColumn("position_ids", T.position_ids(F.col("attention_mask"))), 32)
+    return s.select("conv_id", *(_csv(c) for c in T.SEQUENCES))
+
+
 @query(f"WITH {_RENDER} SELECT conv_id, CAST(len(input_ids) AS BIGINT) AS n_tokens, CAST(len(list_filter(labels, lambda x: x <> -100)) AS BIGINT) AS n_trained, {_CSV.format(c='input_ids[1:32]')} AS head FROM samples")
 def truncated_samples(spark, sf_dir):
     """Lengths, trained tokens and the right-truncated ids."""

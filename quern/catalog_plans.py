@@ -36,7 +36,7 @@ def _digests(tokenised, template, *keys):
 
 
 def _llama_sql(keep: str = "true") -> str:
-    turn = "'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || trim(text) || '<|eot_id|>'"
+    turn = f"'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || trim(text, '{K.WHITE_SPACE}') || '<|eot_id|>'"
     return f"'<|begin_of_text|>' || coalesce(string_agg({turn}, '' ORDER BY turn) FILTER (WHERE {keep}), '')"
 
 
@@ -48,8 +48,8 @@ def chat_llama(spark, sf_dir):
     return _digests(K.tokenize_samples(c, _vocabulary(), K.LLAMA, MARK), K.LLAMA, "conv_id").drop("n_ignored")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'system' AND conv_id % 2 = 0 THEN 'developer' ELSE role END AS role, text FROM conversations),
-o AS (SELECT *, CASE role WHEN 'system' THEN 61 WHEN 'developer' THEN 63 WHEN 'user' THEN 65 ELSE 67 END AS n FROM t), p AS (SELECT *, '<SPECIAL_' || n || '>' || trim(text) || '<SPECIAL_' || (n + 1) || '>' AS piece FROM o)
+@query(f"""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'system' AND conv_id % 2 = 0 THEN 'developer' ELSE role END AS role, text FROM conversations),
+o AS (SELECT *, CASE role WHEN 'system' THEN 61 WHEN 'developer' THEN 63 WHEN 'user' THEN 65 ELSE 67 END AS n FROM t), p AS (SELECT *, '<SPECIAL_' || n || '>' || trim(text, '{K.WHITE_SPACE}') || '<SPECIAL_' || (n + 1) || '>' AS piece FROM o)
 SELECT conv_id, md5('<s>' || string_agg(piece, '' ORDER BY turn)) AS text, md5('<s>' || coalesce(string_agg(piece, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS trained FROM p GROUP BY conv_id""")
 def chat_apertus(spark, sf_dir):
     """Special-token templates with system, developer and user spans masked."""

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .catalog import _t, query
 from .functions import images as I  # noqa: E741
 from .functions import text as X
-from .operators import evaluation, modalities
+from .operators import evaluation, mixing, modalities
 from .sources import archives, payloads, readers, registries, writers
+from .sources import scan_order as scan
 from .sources.scratch import fresh_path
 from .streaming import progress
 
@@ -48,6 +49,20 @@ def jsonl_prefilter(spark, sf_dir):
 _FORMATS = ("parquet", "orc", "json", "csv", "tsv")
 
 
+@query("""WITH d AS (SELECT doc_id, CAST(floor(sqrt(doc_id)) AS BIGINT) % 7 AS k, lang FROM documents), f AS (SELECT 'text' AS format, * FROM d UNION ALL SELECT 'parquet', * FROM d)
+SELECT format, doc_id, row_number() OVER (PARTITION BY format ORDER BY k, doc_id) - 1 AS "row", row_number() OVER (PARTITION BY format, lang ORDER BY k, doc_id) <= 50 AS early FROM f""")
+def scan_order(spark, sf_dir):
+    """Rows of many unequal files numbered as they stand there, lines and Parquet rows, and the first of each class in that order."""
+    d, root = _t(spark, sf_dir, "documents").select("doc_id", (F.floor(F.sqrt("doc_id")) % 7).alias("k"), "lang"), fresh_path(spark, "scan")
+    ordered = d.repartition("k").sortWithinPartitions("k", "doc_id")
+    ordered.select("k", F.concat_ws(" ", "doc_id", "lang").alias("value")).write.partitionBy("k").text(f"{root}/text")
+    ordered.write.partitionBy("k").parquet(f"{root}/parquet")
+    lines = scan.numbered_scan(spark, f"{root}/text").select(F.lit("text").alias("format"), F.split("value", " ")[0].cast("long").alias("doc_id"), F.split("value", " ")[1].alias("lang"), "row")
+    both = lines.unionByName(scan.numbered_scan(spark, f"{root}/parquet", "parquet").select(F.lit("parquet").alias("format"), "doc_id", "lang", "row"))
+    first = mixing.cap_per_class(both.withColumn("class", F.concat("format", "lang")), "class", "row", 50).select("format", "doc_id", F.lit(True).alias("early"))
+    return both.join(first, ["format", "doc_id"], "left").select("format", "doc_id", "row", F.coalesce("early", F.lit(False)).alias("early"))
+
+
 @query("SELECT f AS format, doc_id, lang, n_chars FROM documents, (VALUES ('parquet'), ('orc'), ('json'), ('csv'), ('tsv'), ('folder'), ('two')) AS t(f)")
 def table_formats(spark, sf_dir):
     """Tables read by format, by suffix, from a folder and from two paths at once."""

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..functions.common import fresh
 from ..operators.indexing import batches
 from ..operators.modalities import embedding_counts
+from ..sources.scratch import Stored
 
 
 @dataclass(frozen=True)
@@ -26,6 +30,8 @@ class Template:
     generation: str
 
 
+#: The characters that count as white space at the ends of a message.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Tags of the two template families.
 HEADER, HEADER_END, TURN_END = "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"
 _header = lambda role: f"{HEADER}{role}{HEADER_END}"
@@ -76,10 +82,12 @@ class Tokens:
         """Ids of a text; null of a null one. Marked as not deterministic, so that the planner computes it once, by itself."""
         path, specials = self.path, self.specials
 
-        @F.pandas_udf("array<bigint>")
-        def ids(texts: pd.Series) -> pd.Series:
-            found = _tokenizer(path, specials).encode_batch([t if t is not None else "" for t in texts], add_special_tokens=False)
-            return pd.Series([e.ids if t is not None else None for t, e in zip(texts, found, strict=True)], dtype=object)
+        @F.arrow_udf("array<bigint>")
+        def ids(texts: pa.Array) -> pa.Array:
+            found = [e.ids for e in _tokenizer(path, specials).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            ends = np.cumsum([0, *map(len, found)])
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, ends[-1])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=texts.is_null())
 
         return ids.asNondeterministic()(text)
 
@@ -87,19 +95,20 @@ class Tokens:
         """Text of ids; null of null."""
         path, specials = self.path, self.specials
 
-        @F.pandas_udf("string")
-        def text(rows: pd.Series) -> pd.Series:
-            found = _tokenizer(path, specials).decode_batch([list(r) if r is not None else [] for r in rows], skip_special_tokens=skip_special)
-            return pd.Series([t if r is not None else None for r, t in zip(rows, found, strict=True)], dtype=object)
+        @F.arrow_udf("string")
+        def text(rows: pa.Array) -> pa.Array:
+            found = _tokenizer(path, specials).decode_batch([r or [] for r in rows.to_pylist()], skip_special_tokens=skip_special)
+            return pa.array(found, pa.string(), mask=rows.is_null().to_numpy(zero_copy_only=False))
 
         return text(ids)
 
 
 def render(messages: Column, template: Template, generation_prompt: bool = False) -> Column:
-    """The conversation as one text; a role that the template hasn't is an error. Contents are stripped at both ends."""
+    """The conversation as one text; a role that the template hasn't is an error. Contents are stripped of
+    all white space at both ends."""
     opens, closes = (F.create_map(*(F.lit(x) for r, t in template.turns.items() for x in (r, t[k]))) for k in (0, 1))
     opened = lambda m: F.coalesce(F.try_element_at(opens, m["role"]), F.raise_error(F.concat(F.lit("unknown role: "), F.coalesce(m["role"], F.lit("null")))).cast("string"))
-    turn = lambda m: F.concat(opened(m), F.trim(F.coalesce(m["content"], F.lit(""))), F.element_at(closes, m["role"]))
+    turn = lambda m: F.concat(opened(m), F.trim(F.coalesce(m["content"], F.lit("")), F.lit(WHITE_SPACE)), F.element_at(closes, m["role"]))
     return F.concat(F.lit(template.begin), F.array_join(F.transform(messages, turn), ""), F.lit(template.generation if generation_prompt else ""))
 
 
@@ -126,10 +135,13 @@ def tokenize_samples(samples: DataFrame, path: str, template: Template = LLAMA,
 def padded(samples: DataFrame, key: str, size: int = 16, side: str = "right", pad_id: int = 0) -> DataFrame:
     """``samples`` with batch_id and batch_idx in the order of ``key``, every batch padded to its longest row.
 
-    Batches are numbered on the keys alone, so samples are made once. Repeated keys would share a number: keys are unique.
+    Samples are made once and stored with a row number; batches are numbered on keys and row numbers alone. So null keys
+    (which come first) and repeated ones are rows like others.
     """
-    numbered = batches(samples.select(key), F.col(key), size)
-    rows = samples.join(numbered, key).withColumn("width", F.max(F.size("input_ids")).over(Window.partitionBy("batch_id")))
+    (uid,) = fresh(samples, "uid")
+    made = Stored(samples.withColumn(uid, F.monotonically_increasing_id()), "samples").df
+    numbered = batches(made.select(key, uid), F.col(key), size, uid).drop(key)
+    rows = made.join(numbered, uid).drop(uid).withColumn("width", F.max(F.size("input_ids")).over(Window.partitionBy("batch_id")))
     for name, fill in (("input_ids", pad_id), ("attention_mask", 0), ("labels", T.IGNORE)):
         rows = rows.withColumn(name, T.pad(F.col(name), F.col("width"), fill, side))
     return rows.drop("width").withColumn("position_ids", T.position_ids(F.col("attention_mask")))
