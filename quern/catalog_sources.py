@@ -328,6 +328,22 @@ def resumed_scoring(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("conv_id", "turn", "answer")
 
 
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(left(text, 1)) ELSE '?' END AS answer, NULL AS line FROM conversations WHERE turn % 3 < 2 UNION ALL SELECT NULL, NULL, NULL, '{"conv_id":' || conv_id FROM conversations WHERE turn % 3 = 2""")
+def published_scores(spark, sf_dir):
+    """Generations scored in batches that a ledger publishes, a batch replayed, malformed lines apart, batches folded (ST2, K5)."""
+    c, root = _t(spark, sf_dir, "conversations"), fresh_path(spark, "scores")
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Answer: "), F.upper(F.left("text", F.lit(1))))).otherwise(F.lit("none"))
+    line = F.when(F.col("turn") % 3 < 2, F.to_json(F.struct("conv_id", "turn", text.alias("text")))).otherwise(F.concat(F.lit('{"conv_id":'), "conv_id"))
+    store = progress.ScoreStore(spark, f"{root}/store", "conv_id long, turn long, text string")
+    for part in range(3):
+        c.where(F.col("conv_id") % 3 == part).select(line.alias("value")).write.mode("append").text(f"{root}/in")
+        store.run(f"{root}/in", f"{root}/checkpoint", 1000).awaitTermination()
+        if part == 1:
+            store.compact()
+            store.add(spark.read.text(f"{root}/in"), 0)  # a replay
+    return store.scored().select("conv_id", "turn", "answer").unionByName(store.bad(), allowMissingColumns=True)
+
+
 @query("SELECT 'empty' AS folder, 'none' AS found UNION ALL SELECT 'run', 'checkpoint-20' UNION ALL SELECT 'other', 'error' UNION ALL SELECT 'overwritten', 'none'")
 def resume_points(spark, sf_dir):
     """Where a run resumes: at its last checkpoint, anew, or not at all (ST3)."""

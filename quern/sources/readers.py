@@ -16,15 +16,20 @@ from pyspark.sql import functions as F
 from .scratch import hadoop
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row for each line, malformed and blank ones as nulls with ``malformed`` set."""
-    lines = spark.read.text(path)
+def parse_jsonl(lines: DataFrame, schema: str, keep_line: bool = False) -> DataFrame:
+    """The rows in ``value`` with ``malformed``: lines that are blank, broken or no object are rows of nulls with it set.
+    With ``keep_line`` such a line stays in ``line``."""
     object_only = F.when(F.startswith(F.trim("value"), F.lit("{")), F.col("value"))
     parsed = F.from_json(object_only, f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
-    rows = lines.select(parsed.alias("r"))
-    return rows.withColumn("malformed", F.col("r").isNull() | F.col("r.__bad").isNotNull()).select(
-        *(F.when(~F.col("malformed"), F.col(f"r.{f.name}")).alias(f.name) for f in rows.schema["r"].dataType.fields if f.name != "__bad"), "malformed"
-    )
+    rows = lines.select("value", parsed.alias("r")).withColumn("malformed", F.col("r").isNull() | F.col("r.__bad").isNotNull())
+    fields = [f.name for f in rows.schema["r"].dataType.fields if f.name != "__bad"]
+    kept = [F.when(F.col("malformed"), F.col("value")).alias("line")] if keep_line else []
+    return rows.select(*(F.when(~F.col("malformed"), F.col(f"r.{n}")).alias(n) for n in fields), *kept, "malformed")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row for each line, malformed and blank ones as nulls with ``malformed`` set."""
+    return parse_jsonl(spark.read.text(path), schema)
 
 
 def read_jsonl_matching(spark: SparkSession, path: str, schema: str, needles: list[str]) -> DataFrame:
