@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .catalog import _HASH, _RENDER, _csv, _t, query
 from .functions import common as C
 from .functions import text as X
 from .functions import vectors as V
-from .operators import evaluation, indexing, mixing, modalities
+from .operators import batched, evaluation, indexing, mixing, modalities
 from .plans import captions, supervision
 from .plans import tokenization as K
 from .sources.scratch import Stored
@@ -244,6 +245,29 @@ def filter_counts(spark, sf_dir):
     return evaluation.counted_filter(_t(spark, sf_dir, "documents"), F.col("n_chars") > 500)
 
 
+@query("SELECT count(*) AS before, count(*) FILTER (WHERE n_chars > 500) AS after, CAST(sum(CASE WHEN n_chars > 500 THEN length(text) END) AS BIGINT) AS chars FROM documents")
+def observed_counts(spark, sf_dir):
+    """Rows before and after a filter, counted on the way of the job that uses what it keeps."""
+    kept, before, after = evaluation.observed_filter(_t(spark, sf_dir, "documents"), F.col("n_chars") > 500)
+    chars = kept.agg(F.sum(F.length("text")).alias("chars")).first().chars
+    return spark.createDataFrame([(before.get["before"], after.get["after"], chars)], "before long, after long, chars long")
+
+
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64))) AS BIGINT) AS total, len(list_filter(embedding, lambda x: x > 0)) AS positive, len(list_filter(embedding, lambda x: x > 0)) > 30 AS most FROM embeddings")
+def batched_map(spark, sf_dir):
+    """A NumPy callable over batches of rows, arrays as offsets and values, and a batched filter."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+    def totals(c):
+        v = c["embedding"]
+        scaled, starts = np.floor(v.values.astype(float) * 64).astype(np.int64), v.offsets[:-1]
+        return {"vec_id": c["vec_id"], "total": np.add.reduceat(scaled, starts), "positive": np.add.reduceat((v.values > 0).astype(np.int64), starts)}
+
+    done = batched.map_batches(e, totals, "vec_id long, total long, positive long", size=128)
+    most = batched.filter_batches(done, lambda c: c["positive"] > 30).select("vec_id", F.lit(True).alias("most"))
+    return done.join(most, "vec_id", "left").select("vec_id", "total", "positive", F.coalesce("most", F.lit(False)).alias("most"))
+
+
 @query("SELECT avg(CAST(quality = toxic AS INT)) AS accuracy FROM labels")
 def equal_share(spark, sf_dir):
     """Mean of equality."""

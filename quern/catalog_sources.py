@@ -18,7 +18,7 @@ from .catalog import _t, query
 from .functions import images as I  # noqa: E741
 from .functions import text as X
 from .operators import evaluation, mixing, modalities
-from .sources import archives, payloads, readers, registries, writers
+from .sources import archives, payloads, readers, registries, saved, writers
 from .sources import scan_order as scan
 from .sources.scratch import fresh_path
 from .streaming import progress
@@ -105,6 +105,25 @@ def saved_dataset(spark, sf_dir):
     return readers.read_table(spark, folder).select("doc_id", _md5(F.col("text")).alias("digest"))
 
 
+@query("SELECT doc_id, lang, length(text) AS n FROM documents")
+def saved_shards(spark, sf_dir):
+    """A saved dataset written in shards with a commit and read by record batch, and some of its columns (S3, K1, K4)."""
+    folder = fresh_path(spark, "shards")
+    saved.write_saved(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), folder, 3, 100)
+    whole = saved.read_saved(spark, folder, stretch=1 << 18).select("doc_id", F.length("text").cast("long").alias("n"))
+    return saved.read_saved(spark, folder, ["lang", "doc_id"], 1 << 18).join(whole, "doc_id").select("doc_id", "lang", "n")
+
+
+@query("SELECT CASE WHEN doc_id % 7 = 0 THEN '../' ELSE 'd/' END || doc_id AS path, doc_id % 7 = 0 AS failed, CASE WHEN doc_id % 7 <> 0 THEN md5(text) END AS digest FROM documents")
+def file_sink(spark, sf_dir):
+    """Files written with a commit, and the table of those that failed (K4)."""
+    d, folder = _t(spark, sf_dir, "documents"), fresh_path(spark, "files")
+    path = F.concat(F.when(F.col("doc_id") % 7 == 0, "../").otherwise("d/"), "doc_id")
+    failed = writers.write_images(d.select(path.alias("path"), F.col("text").cast("binary").alias("bytes")), folder)
+    written = readers.read_files(spark, f"{folder}/d").select(F.concat(F.lit("d/"), F.element_at(F.split("path", "/"), -1)).alias("path"), F.lit(False).alias("failed"), F.md5("bytes").alias("digest"))
+    return written.unionByName(failed.select("path", F.lit(True).alias("failed"), F.lit(None).cast("string").alias("digest")))
+
+
 @query("SELECT CAST(doc_id // 2 AS VARCHAR) AS path, md5(arg_max(text, doc_id)) AS digest FROM documents WHERE doc_id // 2 IN (SELECT doc_id // 2 FROM documents) GROUP BY doc_id // 2")
 def registry_scan(spark, sf_dir):
     """The Parquet files of a folder as one registry, the last row of a path winning."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, log_sum_exp
@@ -75,6 +75,14 @@ def counted_filter(df: DataFrame, keep) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("before"), F.count_if(keep).alias("after")).withColumn("dropped", F.col("before") - F.col("after"))
 
 
+def observed_filter(df: DataFrame, keep) -> tuple[DataFrame, Observation, Observation]:
+    """The kept rows, and the observations ``before`` and ``after`` that the first job over them fills: a filter's counts
+    without a pass of their own (a null condition drops)."""
+    seen, left = Observation(), Observation()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("before")).where(keep).observe(left, F.count(F.lit(1)).alias("after"))
+    return kept, seen, left
+
+
 def expert_accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Mean of equality."""
     return df.agg(F.avg((F.col(truth) == F.col(predicted)).cast("int")).alias("accuracy"))

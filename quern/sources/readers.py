@@ -74,29 +74,11 @@ def _kind_of_folder(spark: SparkSession, folder: str) -> str:
     return kinds.pop()
 
 
-def read_saved_dataset(spark: SparkSession, folder: str) -> DataFrame:
-    """A saved dataset: a folder with dataset_info.json, state.json and Arrow stream files. One task reads a file at a time."""
-    from pyspark.sql.pandas.types import from_arrow_schema
+def read_saved_dataset(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+    """A saved dataset: a folder with dataset_info.json, state.json and Arrow stream files, read by record batch."""
+    from .saved import read_saved
 
-    missing = {"dataset_info.json", "state.json"} - set(_names(spark, folder))
-    if missing:
-        raise ValueError(f"not a saved dataset, without {', '.join(sorted(missing))}: {folder}")
-
-    def schema_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                yield pa.RecordBatch.from_pydict({"schema": [pa.ipc.open_stream(data.as_buffer()).schema.serialize().to_pybytes()]})
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                yield from pa.ipc.open_stream(data.as_buffer())
-
-    files = read_files(spark, folder, "*.arrow").select("bytes")
-    first = files.limit(1).mapInArrow(schema_of, "schema binary").first()
-    if first is None:
-        raise ValueError(f"no Arrow file in {folder}")
-    return files.mapInArrow(rows, from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(first[0]))))
+    return read_saved(spark, folder, columns)
 
 
 def read_parquet_registry(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import write_files
 from .scratch import hadoop
 
 
@@ -34,29 +30,8 @@ def append_metrics(spark: SparkSession, path: str, step: int, metrics: dict[str,
 
 
 def write_images(rows: DataFrame, folder: str) -> DataFrame:
-    """Write ``bytes`` to ``path`` below ``folder``, which all executors must have mounted; returns the paths that failed
-    and why. Each file is written beside its place and moved there, so a repeated task leaves whole files. Paths that
-    leave the folder fail."""
-    root = os.path.abspath(re.sub("^file:/*", "/", folder))
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            failed = []
-            for path, data in zip(frame["path"], frame["bytes"], strict=True):
-                try:
-                    at = os.path.normpath(os.path.join(root, path))
-                    if not at.startswith(root + os.sep):
-                        raise ValueError("leaves the folder")
-                    os.makedirs(os.path.dirname(at), exist_ok=True)
-                    part = f"{at}.{os.getpid()}.part"
-                    with open(part, "wb") as f:
-                        f.write(data)
-                    os.replace(part, at)
-                except Exception as e:  # what can't be written is listed, not fatal
-                    failed.append((path, str(e)))
-            yield pd.DataFrame(failed, columns=["path", "error"])
-
-    return rows.select("path", "bytes").mapInPandas(write, "path string, error string")
+    """Write encoded images (path, bytes) below ``folder``; returns the failures (see write_files)."""
+    return write_files(rows, folder)
 
 
 def resume_point(spark: SparkSession, folder: str, overwrite: bool = False) -> str | None:
