@@ -86,6 +86,33 @@ def token_lookup(spark, sf_dir):
     return found.select("conv_id", "turn", F.col("id").cast("int").alias("first_id"))
 
 
+_BYTE = "CASE WHEN b <= 32 THEN 256 + b WHEN b BETWEEN 127 AND 160 THEN 162 + b WHEN b = 173 THEN 323 ELSE b END"
+
+
+@query(f"""WITH b AS (SELECT conv_id, turn, list_transform(range(octet_length(encode(text))), lambda i: CAST(('0x' || substr(hex(encode(text)), 2 * i + 1, 2)) AS INT)) AS bs FROM conversations)
+SELECT conv_id, turn, md5(array_to_string(list_transform(bs, lambda b: chr({_BYTE})), '')) AS tokens, TRUE AS same FROM b WHERE len(bs) > 0""")
+def vocabulary_lookup(spark, sf_dir):
+    """Every token of whole texts by joins with the vocabulary: ids to tokens, which spell the text in the vocabulary's letters, and tokens back to ids."""
+    tok = K.Tokens(_vocabulary())
+    words = F.broadcast(tok.vocabulary(spark))  # a vocabulary has a fixed size
+    ids = Stored(_t(spark, sf_dir, "conversations").select("conv_id", "turn", tok.encode(F.col("text")).alias("ids")), "ids").df.select("conv_id", "turn", F.posexplode("ids").alias("pos", "id"))
+    there = ids.join(words, "id").join(words.withColumnRenamed("id", "back"), "token")
+    spelt = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")
+    return there.groupBy("conv_id", "turn").agg(_md5(spelt).alias("tokens"), F.bool_and(F.col("id") == F.col("back")).alias("same"))
+
+
+@query(f"SELECT conv_id, md5({_llama_sql("role <> 'assistant'")} || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)) AS text, CAST(0 AS BIGINT) AS n_trained FROM conversations GROUP BY conv_id")
+def chat_prompts(spark, sf_dir):
+    """Conversations without the replies, ended by the tag that asks for one: nothing is trained."""
+    c = supervision.conversations_of(_t(spark, sf_dir, "conversations"))
+    asked = F.filter("messages", lambda m: m["role"] != "assistant")
+    c = c.select("conv_id", F.lit(None).cast("string").alias("text"), asked.alias("messages"), F.lit(None).cast(_NONE).alias("modalities"))
+    made = Stored(K.tokenize_samples(c, _vocabulary(), K.LLAMA, MARK, generation_prompt=True), "prompts").df
+    tok, ends = K.Tokens(_vocabulary(), (*K.LLAMA.extra, MARK)), len(K.Tokens(_vocabulary(), (*K.LLAMA.extra, MARK)).ids_of(K.LLAMA.generation)) + 1
+    trained = F.size(F.filter("labels", lambda x: x != -100)) - ends  # the text's own first token and the tag that asks
+    return made.select("conv_id", _md5(tok.decode(F.col("input_ids"), False)).alias("text"), trained.cast("long").alias("n_trained"))
+
+
 _PLACES = f"""WITH {_RENDER}, n AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS i FROM samples),
 b AS (SELECT conv_id, CAST(i // 16 AS BIGINT) AS batch_id, i % 16 AS batch_idx, input_ids, max(len(input_ids)) OVER (PARTITION BY i // 16) - len(input_ids) AS gap FROM n),
 e AS (SELECT conv_id, batch_id, batch_idx, unnest(input_ids) AS id, generate_subscripts(input_ids, 1) - 1 + gap AS position FROM b),

@@ -18,6 +18,7 @@ from .catalog import _t, query
 from .functions import images as I  # noqa: E741
 from .functions import text as X
 from .operators import evaluation, mixing, modalities
+from .plans import captions, supervision
 from .sources import archives, payloads, readers, registries, saved, writers
 from .sources import scan_order as scan
 from .sources.scratch import fresh_path
@@ -157,6 +158,28 @@ def _vec_id():
     return F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("vec_id")
 
 
+@query("""WITH c AS (SELECT doc_id, doc_id % (SELECT max(vec_id) + 1 FROM embeddings) AS v, list_transform(list_filter(string_split(lang || ' ' || source, ' '), lambda w: w <> ''), lambda w: CAST(('0x' || left(md5(w), 7)) AS BIGINT) + 1000)[1:3] AS ids FROM documents),
+p AS (SELECT vec_id, list_transform(range(3 * 16), lambda j: round(((((j % 16) * 3 + j // 16) * 7 + vec_id) % 256 / 255.0 - 0.5) / 0.25, 6)) AS px FROM embeddings)
+SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(3 - len(ids)), lambda i: 0)), ',') AS input_ids, len(px) AS n, round(list_sum(list_transform(px, lambda x, i: round(x * (i - 1), 4))), 2) AS weighed FROM c JOIN p ON p.vec_id = c.v""")
+def image_text_pairs(spark, sf_dir):
+    """Pairs for contrastive training: pixels of decoded images beside the ids of their captions."""
+    folder = fresh_path(spark, "pairs")
+
+    def files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            data = [I.encode_png(((np.arange(48).reshape(4, 4, 3) * 7 + k) % 256).astype(np.uint8)) for k in f["vec_id"]]
+            yield pd.DataFrame({"path": [f"{k}.png" for k in f["vec_id"]], "bytes": data})
+
+    e = _t(spark, sf_dir, "embeddings").select("vec_id")
+    writers.write_images(e.mapInPandas(files, "path string, bytes binary"), folder)
+    n = e.agg(F.max("vec_id") + 1).first()[0]
+    pairs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id") % n, F.lit(".png")).alias("image_path"), F.concat_ws(" ", "lang", "source").alias("caption"))
+    images = readers.read_images(spark, folder, "*.png").withColumn("path", F.element_at(F.split("path", "/"), -1))
+    made = captions.image_text_pairs(pairs, images, supervision.word_ids, 3, 0, 4, [0.5] * 3, [0.25] * 3)
+    weighed = F.aggregate(F.transform("pixel_values", lambda x, i: F.round(F.round(x, 6) * i, 4)), F.lit(0.0), lambda s, x: s + x)
+    return made.select("doc_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").alias("input_ids"), F.size("pixel_values").cast("long").alias("n"), F.round(weighed, 2).alias("weighed"))
+
+
 @query("SELECT vec_id, CAST(label AS INT) AS label, 'class' || label AS class FROM embeddings WHERE vec_id % 11 <> 0")
 def image_folders(spark, sf_dir):
     """Files in class folders, labels numbered in the order of the names."""
@@ -255,7 +278,8 @@ def _archives(spark, sf_dir, kind: str):
 @query("SELECT conv_id || '/' || turn || '.txt' AS name, md5(text) AS digest, conv_id // 8 AS archive, row_number() OVER (PARTITION BY conv_id // 8 ORDER BY conv_id, turn) - 1 AS \"index\" FROM conversations")
 def zip_members(spark, sf_dir):
     """Files inside zip archives."""
-    z = readers.read_archives(spark, _archives(spark, sf_dir, "zip")[0], "*.zip")
+    index = archives.ArchiveIndex.build(spark, _archives(spark, sf_dir, "zip")[0], "*.zip")
+    z = index.read().join(index.members().select("number", "index"), "number")
     return z.select("name", F.md5("bytes").alias("digest"), F.regexp_extract("archive", r"(\d+)\.zip$", 1).cast("long").alias("archive"), "index")
 
 

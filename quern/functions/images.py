@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,3 +193,19 @@ def image_tensor(data: Column, size: int, mean: list[float], std: list[float]) -
         return pd.Series(out, dtype=object)
 
     return tensor(data)
+
+
+def pixel_values(rgb: Column, height: Column, width: Column, size: int, mean: list[float], std: list[float]) -> Column:
+    """Flat 3 x size x size values of decoded pixels (three bytes each, red first), ready for an encoder; null of null ones.
+    An image is held at a time."""
+
+    @F.arrow_udf("array<double>")
+    def values(data: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
+        flat, ends = [], [0]
+        for d, y, x in zip(data, h.to_pylist(), w.to_pylist(), strict=True):
+            if d.is_valid:
+                flat.append(prepared(np.frombuffer(d.as_buffer(), np.uint8).reshape(y, x, 3), size, mean, std).ravel())
+            ends.append(ends[-1] + (3 * size * size if d.is_valid else 0))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0)), mask=data.is_null())
+
+    return values(rgb, height, width)

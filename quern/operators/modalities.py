@@ -28,12 +28,12 @@ def exploded(samples: DataFrame, modalities: str = "modalities") -> DataFrame:
 
 def _looked_up(each: DataFrame, registry: DataFrame, path: str, columns: list[str], order: list[str], unique: bool = False) -> DataFrame:
     """``each`` with hit and v (a struct of the registry's columns). A path that stands in the registry twice has one row:
-    the last in ``order``, or without an order the one of the largest columns. A ``unique`` registry has each path once
+    the last in ``order``, or without an order the last in the scan. A ``unique`` registry has each path once
     and is joined as it is, in the partitioning that it has."""
     if unique:
         one = registry.where(F.col(path).isNotNull()).select(F.col(path).cast("string").alias("__path"), F.struct(*columns).alias("v"))
     else:
-        found = registry.select(F.col(path).cast("string").alias("path"), F.struct(*columns).alias("v"), F.struct(*(order or columns)).alias("o"))
+        found = registry.select(F.col(path).cast("string").alias("path"), F.struct(*columns).alias("v"), F.struct(*(order or [F.monotonically_increasing_id()])).alias("o"))
         one = last_wins(found.where(F.col("path").isNotNull()), "path", "o").select(F.col("path").alias("__path"), "v")
     return each.join(one, F.col("m.value").cast("string") == F.col("__path"), "left").withColumn("hit", F.col("__path").isNotNull()).drop("__path")
 

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import tokens as T
+from ..functions.images import pixel_values
+from ..sources.readers import rgb_pixels
 
 LENGTH, PAD = 128, 0
+#: Side, means and deviations of the image encoder's input.
+SIZE, MEAN, STD = 224, [0.48145466, 0.4578275, 0.40821073], [0.26862954, 0.26130258, 0.27577711]
 
 
 def first_image_path(dataset: str, modalities: Column) -> Column:
@@ -35,3 +39,18 @@ def tokenized_captions(pairs: DataFrame, tokenize: Callable[[Column], Column], l
     cut = pairs.withColumn("input_ids", T.truncate(tokenize(F.col("caption")), length)).drop("caption")
     cut = cut.withColumn("attention_mask", T.pad(F.transform("input_ids", lambda x: F.lit(1).cast("long")), F.lit(length), 0))
     return cut.withColumn("input_ids", T.pad(F.col("input_ids"), F.lit(length), pad))
+
+
+def image_text_pairs(pairs: DataFrame, images: DataFrame, tokenize: Callable[[Column], Column], length: int = LENGTH, pad: int = PAD, size: int = SIZE, mean: list[float] = MEAN, std: list[float] = STD) -> DataFrame:
+    """``pairs`` (image_path, caption and more) with pixel_values, input_ids and attention_mask in place of path and caption.
+
+    ``images`` is read_images' table with paths as the pairs have them, each once. A pair whose image isn't there or can't
+    be decoded goes, as a filter before training would have it; several pairs may share an image. Tokens are made before
+    the join and pixels are resized behind it, so each is made once a pair, and the join carries an image's own bytes.
+    """
+    good = images.where("height > 0").select(F.col("path").alias("image_path"), "height", "width", "channels", "pixels")
+    texts = pairs.select(*(c for c in pairs.columns if c != "caption"), T.truncate(tokenize(F.col("caption")), length).alias("input_ids"))
+    both = texts.join(good, "image_path").withColumn("rgb", rgb_pixels(F.col("pixels"), F.col("channels"))).drop("pixels", "channels")
+    both = both.withColumn("pixel_values", pixel_values(F.col("rgb"), F.col("height"), F.col("width"), size, mean, std)).drop("rgb", "height", "width", "image_path")
+    both = both.withColumn("attention_mask", T.pad(F.transform("input_ids", lambda x: F.lit(1).cast("long")), F.lit(length), 0))
+    return both.withColumn("input_ids", T.pad(F.col("input_ids"), F.lit(length), pad))

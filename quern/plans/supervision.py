@@ -68,9 +68,5 @@ def answered_turns(turns: DataFrame) -> DataFrame:
 
 def rl_records(turns: DataFrame, data_source: str, split: str) -> DataFrame:
     """User turns answered by the next turn, as reinforcement-learning records."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = turns.withColumn("reply", F.lead("text").over(w)).withColumn("by", F.lead("role").over(w)).where("role = 'user' and by = 'assistant'")
-    return pairs.select(
-        "conv_id", "turn", F.lit(data_source).alias("data_source"), F.array(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"))).alias("prompt"), F.lit("math").alias("ability"),
-        F.struct(F.lit("rule").alias("style"), F.col("reply").alias("ground_truth")).alias("reward_model"), F.lit(split).alias("split"),
-    )
+    made = rl_map(answered_turns(turns), data_source, split, "turn")
+    return made.select("conv_id", "turn", "data_source", "prompt", "ability", "reward_model", F.col("extra_info.split").alias("split"))

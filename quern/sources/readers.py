@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import hadoop
@@ -145,8 +145,8 @@ def rgb_pixels(pixels: Column, channels: Column) -> Column:
 def read_archives(spark: SparkSession, folder: str, glob: str = "*.tar") -> DataFrame:
     """archive, index, name and bytes of the files inside tar or zip archives.
 
-    One task reads an archive at a time and hands its files on one by one; names that leave the archive's folder are an
-    error. ``index`` counts inside an archive (see numbered_archives).
+    For stores that only Spark opens: one task holds an archive at a time and hands its files on one by one. Elsewhere
+    ArchiveIndex reads members by range. Names that leave the archive's folder are an error; ``index`` counts inside an archive.
     """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +171,3 @@ def _members(path: str, data) -> Iterator[tuple[str, bytes]]:
             for m in t:
                 if m.isfile():
                     yield m.name, t.extractfile(m).read()
-
-
-def numbered_archives(members: DataFrame) -> DataFrame:
-    """``members`` with wds_index: the number of a file over all archives, in the order of their names."""
-    before = Window.orderBy("archive").rowsBetween(Window.unboundedPreceding, -1)  # one row for each archive
-    totals = members.groupBy("archive").agg(F.count(F.lit(1)).alias("n")).select("archive", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return members.join(totals, "archive").withColumn("wds_index", F.col("before") + F.col("index")).drop("before")
