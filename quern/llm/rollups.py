@@ -1,9 +1,9 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
 A batch of changes (inserts, deletes, revised counts) is aggregated to one signed row for each group and added to the
-totals before it. The new totals are written aside and then published by one small file of the store's log, which names
-them and the batch. What isn't in the log isn't there: a commit that dies half way leaves the old totals, and readers never
-see a part of one. A batch that the log has already is a replay: with the same content it changes nothing, with other
+totals before it. The new totals, and the table of batches that are in them, are written aside and then published by one
+small file of the store's log, which names them. What isn't in the log isn't there: a commit that dies half way leaves the
+old totals, and readers never see a part of one. A batch that the table has already is a replay: with the same content it changes nothing, with other
 content it is an error. A store has one writer at a time; readers may come at any time.
 """
 
@@ -60,17 +60,27 @@ def count_tokens(docs: DataFrame, tokenizer: str, ranks_path: str | None = None,
 
 
 class Rollup:
-    """The store at ``path`` in a shared folder. The log has one small file for each commit; ``compact`` starts it anew."""
+    """The store at ``path`` in a shared folder. Its log's newest entry names the totals and the table of all batches that
+    they contain; entries before the last but one, and tables that neither of the last two names, are removed by the next
+    commit. So the store stays of bounded size but for one short row a batch, and a replay is known however old it is."""
+
+    BATCHES = "batch string, groups string, digest string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _log(self) -> list[dict]:
+    def _entries(self) -> list[str]:
         files, at = hadoop(self.spark, f"{self.path}/log")
-        if not files.exists(at):
-            return []
-        lines = self.spark.read.text(f"{self.path}/log").select("value").collect()  # one line a commit
-        return sorted((json.loads(r.value) for r in lines if r.value.endswith("}")), key=lambda e: e["nth"])
+        names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+        return sorted(n for n in names if n.endswith(".json") and n[0].isdigit())
+
+    def _entry(self, name: str) -> dict | None:
+        line = self.spark.read.text(f"{self.path}/log/{name}").first()
+        return json.loads(line.value) if line and line.value.endswith("}") else None
+
+    def _last(self) -> dict | None:
+        """The newest whole entry: one that its writer died in counts for nothing."""
+        return next((e for n in reversed(self._entries()) if (e := self._entry(n))), None)
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch of signed rows; False if it is a replay. Pre-aggregation runs before the shuffle, so a hot group is
@@ -78,36 +88,58 @@ class Rollup:
         net = Stored(_summed(deltas.select(*GROUP, "docs", "tokens")), "net")
         content = net.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*GROUP, "docs", "tokens").cast("decimal(38,0)"))).first()
         content = [str(x) for x in content]
-        log = self._log()
-        for e in log:
-            if e["batch"] == batch:
-                net.drop()
-                if e["content"] != content:
-                    raise ValueError(f"batch {batch} was committed with other content")
-                return False
-        folder = f"totals-{uuid.uuid4().hex}"
-        _summed(self._totals(log).unionByName(net.df)).write.parquet(f"{self.path}/{folder}")
-        entry = {"nth": log[-1]["nth"] + 1 if log else 0, "batch": batch, "content": content, "totals": folder}
-        files, at = hadoop(self.spark, f"{self.path}/log/{entry['nth']:09d}.json")
-        out = files.create(at, False)  # an error if it is there: another writer
-        out.write(bytearray((json.dumps(entry) + "\n").encode()))
-        out.close()
+        last = self._last()
+        if seen := self._batches(last).where(F.col("batch") == batch).first():
+            net.drop()
+            if [seen.groups, seen.digest] != content:
+                raise ValueError(f"batch {batch} was committed with other content")
+            return False
+        one = self.spark.createDataFrame([(batch, *content)], self.BATCHES)
+        self._publish(last, _summed(self._totals(last).unionByName(net.df)), self._batches(last).unionByName(one))
         net.drop()
         return True
 
-    def _totals(self, log: list[dict]) -> DataFrame:
-        if not log:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{log[-1]['totals']}")
+    def _publish(self, last: dict | None, totals: DataFrame, batches: DataFrame) -> None:
+        tag, nth = uuid.uuid4().hex, last["nth"] + 1 if last else 0
+        totals.write.parquet(f"{self.path}/totals-{tag}")
+        batches.coalesce(1).write.parquet(f"{self.path}/batches-{tag}")  # a short row a batch
+        files, at = hadoop(self.spark, f"{self.path}/log/{nth:09d}.json")
+        if files.exists(at) and self._entry(f"{nth:09d}.json") is None:
+            files.delete(at, False)  # its writer died in it
+        out = files.create(at, False)  # an error if it is there: another writer
+        out.write(bytearray((json.dumps({"nth": nth, "tag": tag}) + "\n").encode()))
+        out.close()
+        self._clean({tag, last["tag"]} if last else {tag}, nth)
+
+    def _clean(self, tags: set[str], nth: int) -> None:
+        """Removes what no reader of this entry or of the one before can be at, dead commits' tables among it."""
+        files, root = hadoop(self.spark, self.path)
+        for f in files.listStatus(root):
+            kind, _, tag = f.getPath().getName().partition("-")
+            if kind in ("totals", "batches") and tag not in tags:
+                files.delete(f.getPath(), True)
+        for name in self._entries():
+            if int(name.removesuffix(".json")) < nth - 1:
+                files.delete(hadoop(self.spark, f"{self.path}/log/{name}")[1], False)
+
+    def _totals(self, entry: dict | None) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/totals-{entry['tag']}") if entry else self.spark.createDataFrame([], SCHEMA)
+
+    def _batches(self, entry: dict | None) -> DataFrame:
+        return self.spark.read.schema(self.BATCHES).parquet(f"{self.path}/batches-{entry['tag']}") if entry else self.spark.createDataFrame([], self.BATCHES)
 
     def totals(self) -> DataFrame:
         """GROUP columns, docs and tokens of the groups that aren't empty, as of the last commit; no rows without one."""
-        return self._totals(self._log())
+        return self._totals(self._last())
 
     def compact(self, target: str) -> Rollup:
-        """A new store at ``target`` with the totals as its one batch."""
-        out = Rollup(self.spark, target)
-        out.commit("base", self.totals())
+        """A new store at ``target`` with these totals in few files. It knows every batch of this one, so a replay there
+        changes nothing either. A store that is there already is an error."""
+        out, last = Rollup(self.spark, target), self._last()
+        if out._entries():
+            raise ValueError(f"{target} holds a store")
+        if last:
+            out._publish(None, self._totals(last).repartition(1 + self._totals(last).count() // 1_000_000), self._batches(last))
         return out
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, restrict
@@ -24,11 +24,13 @@ from .recent import Recent
 #: Bound of the training sample: so many labelled rows, those of least hash of doc_id.
 TRAIN_ROWS = 10_000
 FOLDS = 5
+#: Bound of what the sample's sentences send to the fit: trained features in sentences, rows of greater hash go first.
+TRAIN_CELLS = 5_000_000
 #: A feature is trained if its presence is this many standard errors more frequent in toxic rows, in at least MIN_ROWS rows.
-MIN_Z = 6.0
+MIN_Z = 3.0
 #: Most features that are trained.
 MAX_FEATURES = 20_000
-MIN_ROWS = 8
+MIN_ROWS = 3
 PREFIXES = (4, 5, 6)
 STEPS = 400
 DECAY = 1e-4
@@ -64,19 +66,20 @@ class Model:
 
 
 def fit(rows: list[tuple[int, int, list[tuple[int, list[int]]]]], names: list[str]) -> Model:
-    """Fit by full-batch Adam on the noisy-or likelihood. A row is a document's label, its number of sentences without a
+    """Fit by full-batch Adam on the noisy-or likelihood, where a rare label weighs more by the root of its rarity: between the
+    likelihood as it is, which misses toxic rows, and labels of equal weight, which sees too many in a small sample. A row is a document's label, its number of sentences without a
     trained feature, and the others as (times, features), features by their place in ``names``. Without both labels the
     model is the default one."""
     toxic, n = sum(r[0] for r in rows), len(rows)
     if not toxic or toxic == n:
         return Model()
-    clean = n - toxic
     flat = [(d, times, cells) for d, r in enumerate(rows) for times, cells in r[2]]
     owner, times = np.array([f[0] for f in flat], int), np.array([f[1] for f in flat], float)
     cs = np.repeat(np.arange(len(flat)), [len(f[2]) for f in flat]).astype(int)
     cf = np.array([c for f in flat for c in f[2]], int)
     y, quiet = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
-    share = np.where(y == 1, 0.5 * n / toxic, 0.5 * n / clean)  # both labels weigh alike
+    share = np.where(y == 1, toxic, n - toxic) ** -0.5
+    share *= n / share.sum()
     theta = np.concatenate([[-6.0], np.full(len(names), 0.5)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
@@ -132,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     of several texts under one id the one of the smallest hash counts; null ids and labels are not used.
 
     Texts stay on the executors: they count features, and of each document return only which trained features stand
-    together in a sentence, and how often. At most ``max_features`` features of the largest deviation are trained.
+    together in a sentence, and how often, up to TRAIN_CELLS of them. At most ``max_features`` features of the largest
+    deviation are trained.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -149,7 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     z = (F.col("hits") / toxic - (F.col("seen") - F.col("hits")) / clean) / error
     chosen = counted.where(F.col("seen") >= MIN_ROWS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(max_features)
     names = sorted(r.feature for r in chosen.collect())
-    found = sample.mapInArrow(_cells(names), "doc_id long, label int, quiet long, times array<long>, cells array<array<long>>").orderBy("doc_id").collect()
+    cells = Stored(sample.mapInArrow(_cells(names), "doc_id long, label int, quiet long, times array<long>, cells array<array<long>>"), "cells").df
+    upto = F.sum(F.size(F.flatten("cells")) + 1).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most ``rows`` rows
+    found = cells.withColumn("upto", upto).where(F.col("upto") <= TRAIN_CELLS).orderBy("doc_id").collect()
     return fit([(r.label, r.quiet, list(zip(r.times, r.cells, strict=True))) for r in found], names)
 
 
