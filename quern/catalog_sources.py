@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .catalog import _t, query
 from .functions import images as I  # noqa: E741
 from .functions import text as X
-from .operators import evaluation, mixing, modalities
+from .operators import evaluation, indexing, mixing, modalities
 from .plans import captions, supervision
 from .sources import archives, payloads, readers, registries, saved, writers
 from .sources import scan_order as scan
@@ -325,12 +325,11 @@ def volumes(spark, sf_dir):
 
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS "index", CASE turn % 3 WHEN 0 THEN '?' ELSE upper(left(role, 1)) END AS answer FROM conversations) SELECT * FROM a""")
 def answers_file(spark, sf_dir):
-    """One character a record, in one file."""
+    """One character a record, written in lines and read back with its number."""
     path = fresh_path(spark, "answers")
     c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "?").otherwise(F.upper(F.left("role", F.lit(1)))).alias("a"))
-    joined = c.groupBy().agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "a"))).alias("l")).select(F.array_join(F.transform("l", lambda x: x["a"]), "").alias("value"))
-    joined.coalesce(1).write.text(path)  # ends with a line break, which is no answer
-    return readers.read_answers(spark, path).where(F.col("answer") != "\n").select(F.col("index").cast("long").alias("index"), "answer")
+    writers.write_answers(c, path, "a", "conv_id", "turn", line=100)
+    return readers.read_answers(spark, path)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) || '. ' || lang AS line FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR) || '. ' || source FROM documents")
@@ -371,6 +370,24 @@ def resumed_scoring(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("conv_id", "turn", "answer")
 
 
+@query("SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST((SELECT count(*) // 3 * 2 FROM documents) AS BIGINT) AS resumed_at FROM documents GROUP BY lang")
+def resumed_totals(spark, sf_dir):
+    """A run over all rows in three parts, each resumed at the last checkpoint before it (ST3, O7)."""
+    d, root = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").cast("long").alias("n_chars")), fresh_path(spark, "run")
+    size, at = d.count() // 3, 0
+    for part in range(3):
+        found = writers.resume_point(spark, root)
+        at = int(found[11:]) if found else 0
+        rest = indexing.with_index(d, F.col("doc_id")).where(F.col("index") >= at)
+        new = rest.where(F.col("index") < at + size) if part < 2 else rest
+        new = new.select("lang", F.lit(1).cast("long").alias("n"), F.col("n_chars").alias("chars"))
+        both = new.unionByName(spark.read.parquet(f"{root}/{found}")) if found else new
+        totals = both.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+        if part == 2:
+            return totals.withColumn("resumed_at", F.lit(at).cast("long"))
+        totals.write.parquet(f"{root}/checkpoint-{at + size}")
+
+
 @query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(left(text, 1)) ELSE '?' END AS answer, NULL AS line FROM conversations WHERE turn % 3 < 2 UNION ALL SELECT NULL, NULL, NULL, '{"conv_id":' || conv_id FROM conversations WHERE turn % 3 = 2""")
 def published_scores(spark, sf_dir):
     """Generations scored in batches that a ledger publishes, a batch replayed, malformed lines apart, batches folded (ST2, K5)."""

@@ -106,9 +106,15 @@ def read_image_folders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """One row a character: index and answer."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.filter(F.split("value", ""), lambda c: c != "")).alias("index", "answer"))
+    """One row a character of a file or of a folder's files: index and answer. Line breaks are no answers. Lines are
+    numbered as they stand in the files and their lengths summed up in stretches, so no task has more than its lines."""
+    from ..operators.running import running
+    from .scan_order import numbered_scan
+
+    lines = numbered_scan(spark, path).withColumn("n", F.length("value")).where("n > 0")
+    placed = running(lines, "n", None, F.col("row")).select("value", (F.col("running_sum") - F.col("n")).cast("long").alias("start"))
+    each = placed.select("start", F.posexplode(F.filter(F.split("value", ""), lambda c: c != "")).alias("at", "answer"))
+    return each.select((F.col("start") + F.col("at")).alias("index"), "answer")
 
 
 def read_volumes(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_left: list[Stored] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,14 +42,29 @@ def hadoop(spark: SparkSession, path: str):
 
 
 class Stored:
-    """A DataFrame written to the shared folder; ``df`` reads it back, ``drop`` frees the disk early."""
+    """A DataFrame written to the shared folder; ``df`` reads it back, ``drop`` frees the disk early. Tables that are left
+    when the application ends go then."""
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, tag)
+        _left.append(self)
+        if len(_left) == 1:
+            atexit.register(_drop_left)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         files, at = hadoop(self.spark, self.path)
         files.delete(at, True)
+        if self in _left:
+            _left.remove(self)
+
+
+def _drop_left() -> None:
+    """Best effort: where the session has stopped before, its own folder is all that can be removed."""
+    for table in list(_left):
+        try:
+            table.drop()
+        except Exception:  # no JVM any more
+            return

@@ -11,6 +11,7 @@ from quern.functions import tokens as T
 from quern.operators import mixing
 from quern.operators import running as R
 from quern.plans import tokenization as K
+from quern.sources import readers, writers
 from quern.sources import scan_order as scan
 
 
@@ -70,6 +71,18 @@ def test_numbered_formats(spark, tmp_path):
     assert scan.numbered_scan(spark, str(tmp_path / "j"), "json", "id long").where("row <> id").count() == 0
 
 
+def test_answers_in_lines_and_files(spark, tmp_path):
+    rows = [(i, "ABCD?"[i % 5]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i long, __i string").repartition(4)
+    for line in (1, 7, 1 << 16):
+        writers.write_answers(df, str(tmp_path / "a"), "__i", "i", line=line)
+        assert sorted((r["index"], r.answer) for r in readers.read_answers(spark, str(tmp_path / "a")).collect()) == rows
+    (tmp_path / "one.txt").write_text("AB\n\nC?")
+    assert sorted((r["index"], r.answer) for r in readers.read_answers(spark, str(tmp_path / "one.txt")).collect()) == [(0, "A"), (1, "B"), (2, "C"), (3, "?")]
+    with pytest.raises(Exception, match="one character"):
+        writers.write_answers(df.withColumn("__i", F.lit("AB")), str(tmp_path / "b"), "__i", "i")
+
+
 def draws(weights, seed=42):
     total, i = sum(weights), 0
     while True:
