@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import images as I  # noqa: E741
+from quern.plans import captions
 from quern.sources import archives, payloads, ranges, readers, registries
 from quern.sources.bloom import Bloom
 
@@ -222,3 +223,52 @@ def test_ranges_count_what_they_open(tmp_path):
     with pytest.raises(ValueError, match="4 of 9 bytes"):
         r.member(f"{tmp_path}/0", 6, 9, 9, "stored")
     r.close()
+
+
+def jvm_image(spark, path, kind, width, height):
+    """An image that the JVM encodes: grey levels that rise to the right."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(width, height, 5)
+    for x in range(width):
+        for y in range(height):
+            image.setRGB(x, y, (x * 20 % 256) * 0x010101)
+    assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(path)))
+
+
+def test_other_formats_are_decoded_by_the_source(spark, tmp_path, monkeypatch):
+    for kind in ("jpg", "gif", "bmp"):
+        jvm_image(spark, tmp_path / f"good.{kind}", kind, 9, 6)
+        jvm_image(spark, tmp_path / f"low.{kind}", kind, 9, 1)
+        (tmp_path / f"cut.{kind}").write_bytes((tmp_path / f"good.{kind}").read_bytes()[:26])
+    registry = registries.registry_of("path", spark, str(tmp_path))
+    names = [f"{n}.{k}" for n in ("good", "low", "cut") for k in ("jpg", "gif", "bmp")]
+    samples = spark.createDataFrame([(n, [("image", n)]) for n in names], f"key string, modalities {ITEM}")
+    heads = {r.path: (r.format, r.width, r.height) for r in registry.headers(samples).collect()}
+    assert heads["good.jpg"] == ("jpeg", 9, 6) and heads["good.gif"] == ("gif", 9, 6) and heads["low.bmp"] == ("bmp", 9, 1)
+    monkeypatch.setattr(registries, "DECODE_PATHS", 2)  # several scans
+    assert sorted(r.key for r in registry.check(samples).collect()) == ["good.bmp", "good.gif", "good.jpg"]
+
+
+def test_pairs_of_pixels_and_ids(spark, tmp_path):
+    for kind in ("jpg", "png"):
+        jvm_image(spark, tmp_path / f"a.{kind}", kind, 8, 8)
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    rows = [(1, "a.jpg", "one two three"), (2, "a.png", "one"), (3, "a.png", None), (4, "bad.png", "x"), (5, "gone.png", "x"), (6, None, "x")]
+    pairs = spark.createDataFrame(rows, "id long, image_path string, caption string")
+    images = readers.read_images(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    ids = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), " "), lambda w: F.length(w).cast("long"))
+    made = captions.image_text_pairs(pairs, images, ids, length=2, pad=-1, size=8, mean=[0.5] * 3, std=[0.5] * 3)
+    assert made.columns == ["id", "input_ids", "pixel_values", "attention_mask"]
+    got = {r.id: r for r in made.collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert [(got[i].input_ids, got[i].attention_mask) for i in (1, 2, 3)] == [([3, 3], [1, 1]), ([3, -1], [1, 0]), ([0, -1], [1, 0])]
+    want = np.array([[x * 20 % 256 for x in range(8)]] * 8) / 255 * 2 - 1
+    assert np.allclose(np.array(got[2].pixel_values).reshape(3, 8, 8), want)
+    assert np.abs(np.array(got[1].pixel_values).reshape(3, 8, 8) - want).max() < 0.1  # a lossy format
+
+
+def test_pixel_values_resize_and_cut(spark):
+    px = np.full((9, 6, 3), 51, np.uint8)
+    df = spark.createDataFrame([(1, bytearray(px.tobytes()), 9, 6), (2, None, None, None)], "id long, rgb binary, h int, w int")
+    got = {r.id: r.v for r in df.select("id", I.pixel_values(F.col("rgb"), F.col("h"), F.col("w"), 4, [0.2] * 3, [0.5] * 3).alias("v")).collect()}
+    assert got[2] is None and np.allclose(got[1], 0) and len(got[1]) == 48
