@@ -21,6 +21,8 @@ PER_BLOCK = 4
 WEIGHT_BITS = 24
 #: Bytes of text in a bucket of neighbours, if that makes more buckets than twice the shuffle partitions.
 BUCKET_BYTES = 256 << 20
+#: Most buckets, so that their bounds (16 bytes each, sent twice) stay within 2 MB; beyond 16 TB of text buckets grow.
+MAX_BUCKETS = 1 << 16
 _LOWEST = -(1 << 63)
 
 
@@ -55,8 +57,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """(bucket, place, copy, doc_id, text, next_text) of every row, next in descending doc_id, the last followed by the first.
 
     Rows go to buckets between bounds, so that a window inside the buckets sees every successor. The bounds are the first
-    (doc_id, text hash) of each range partition of the keys alone; their number follows from the size of the texts, and as
-    one row of 16 bytes a bound they are broadcast. Texts are shuffled once: the first row of each bucket goes to the bucket
+    (doc_id, text hash) of each range partition of the keys alone; their number follows from the size of the texts up to
+    MAX_BUCKETS, and as one row of 16 bytes a bound they are broadcast. Texts are shuffled once: the first row of each bucket goes to the bucket
     before it as well. ``place`` numbers rows uniquely. The first of a bucket's copies is returned too (``copy``), as the
     successor of the last row; what is grouped by bucket needs no further shuffle. Null ids come last, null texts are empty,
     rows that share an id are ordered by a hash of their text, so one id with very many texts still spreads.
@@ -66,7 +68,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spot = F.struct("key", F.xxhash64("text").alias("tag"))
     keys = Stored(rows.select(spot.alias("spot"), F.octet_length("text").cast("long").alias("bytes")), "keys").df
     size = keys.agg(F.sum("bytes")).first()[0] or 0
-    n = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    n = max(2, min(MAX_BUCKETS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)))
     firsts = keys.repartitionByRange(n, F.desc("spot")).groupBy(F.spark_partition_id().alias("part")).agg(F.max("spot").alias("spot"))
     step = max(1, int(n**0.5))
     cuts = firsts.agg(F.sort_array(F.collect_list("spot"), False).alias("all"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import Stored
 
 N_SHARDS = 16
+#: Rows of a range partition, where that makes more of them than the shuffle partitions.
+PART_ROWS = 4_000_000
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = N_SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,7 +23,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = N_SHARDS, doc_id: str = "doc
     text_col = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(text_col) + 1).cast("long").alias("size"), F.crc32(text_col.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"))
     rows = Stored(rows, "sizes").df  # the range sampler reads it again; the texts are read once
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_ROWS)
     placed = Stored(rows.repartitionByRange(n, "doc_id", "uid").withColumn("part", F.spark_partition_id()), "ranges").df
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range partition
