@@ -21,6 +21,7 @@ from .operators import evaluation, indexing, mixing, modalities
 from .plans import captions, supervision
 from .sources import archives, payloads, readers, registries, saved, writers
 from .sources import scan_order as scan
+from .sources import volumes as npy
 from .sources.scratch import fresh_path
 from .streaming import progress
 
@@ -323,6 +324,23 @@ def volumes(spark, sf_dir):
     return v.select(F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("long").alias("vec_id"), F.array_join(F.transform("shape", lambda x: x.cast("string")), "x").alias("shape"), F.round(total, 4).alias("total"))
 
 
+@query("""WITH v AS (SELECT vec_id // 64 AS volume, vec_id % 64 // 4 * 4 AS start, count(*) AS n, sum(list_sum(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)))) AS total FROM embeddings GROUP BY ALL)
+SELECT volume, start, CAST(start + n AS BIGINT) AS stop, CAST(total AS BIGINT) AS total FROM v""")
+def volume_slabs(spark, sf_dir):
+    """Arrays of 64 x 8 x 8 numbers read four rows at a time by range."""
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("vec_id")
+        np.save(out := io.BytesIO(), np.floor(np.stack(rows["embedding"]).astype(float) * 1024).astype(np.int32).reshape(-1, 8, 8))
+        return pd.DataFrame({"path": [f"{int(rows['vec_id'].iloc[0]) // 64}.npy"], "bytes": [out.getvalue()]})
+
+    folder, e = fresh_path(spark, "slabs"), _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    writers.write_images(e.groupBy(F.floor(F.col("vec_id") / 64)).applyInPandas(pack, "path string, bytes binary"), folder)
+    s = npy.read_volume_slabs(spark, folder, slab=4 * 64 * 4)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long")
+    return s.select(F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("long").alias("volume"), "start", "stop", total.alias("total"))
+
+
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS "index", CASE turn % 3 WHEN 0 THEN '?' ELSE upper(left(role, 1)) END AS answer FROM conversations) SELECT * FROM a""")
 def answers_file(spark, sf_dir):
     """One character a record, written in lines and read back with its number."""

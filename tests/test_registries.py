@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import images as I  # noqa: E741
 from quern.plans import captions
-from quern.sources import archives, payloads, ranges, readers, registries
+from quern.sources import archives, payloads, ranges, readers, registries, volumes
 from quern.sources.bloom import Bloom
 
 
@@ -272,3 +272,27 @@ def test_pixel_values_resize_and_cut(spark):
     df = spark.createDataFrame([(1, bytearray(px.tobytes()), 9, 6), (2, None, None, None)], "id long, rgb binary, h int, w int")
     got = {r.id: r.v for r in df.select("id", I.pixel_values(F.col("rgb"), F.col("h"), F.col("w"), 4, [0.2] * 3, [0.5] * 3).alias("v")).collect()}
     assert got[2] is None and np.allclose(got[1], 0) and len(got[1]) == 48
+
+
+def test_volumes_by_slab(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    made = {"c": rng.normal(size=(7, 3, 2)), "f": np.asfortranarray(rng.integers(-9, 9, (4, 5)).astype(np.int16)), "one": np.float32(2.5), "none": np.zeros((0, 4)), "flat": np.zeros((3, 0)), "big": np.arange(10, dtype=">i8"), "flags": np.array([True, False])}
+    for name, a in made.items():
+        np.save(tmp_path / f"{name}.npy", a)
+    for slab in (1, 100, 1 << 20):
+        got: dict = {}
+        for r in volumes.read_volume_slabs(spark, str(tmp_path), slab=slab).collect():
+            got.setdefault(os.path.basename(r.path)[:-4], []).append(r)
+        assert set(got) == set(made) - {"none", "flat"}
+        for name, rows in got.items():
+            rows.sort(key=lambda r: r.start)
+            assert [r.start for r in rows] == [0, *(r.stop for r in rows[:-1])] and tuple(rows[0].shape) == np.shape(made[name])
+            assert [v for r in rows for v in r["values"]] == np.asarray(made[name], float).ravel(order="K").tolist()
+        assert len(got["c"]) == {1: 7, 100: 4, 1 << 20: 1}[slab]
+    for name, data in (("cut", (tmp_path / "c.npy").read_bytes()[:-1]), ("text", b"no array"), ("complex", None), ("objects", None)):
+        if data is None:
+            np.save(tmp_path / f"{name}.npy", np.array([1j]) if name == "complex" else np.array([{}], dtype=object), allow_pickle=True)
+        else:
+            (tmp_path / f"{name}.npy").write_bytes(data)
+        with pytest.raises(Exception, match=f"{name}.npy"):
+            volumes.read_volume_slabs(spark, str(tmp_path), f"{name}.npy").collect()
