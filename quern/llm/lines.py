@@ -34,6 +34,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
     Repeated runs of ``run`` lines or more go. With ``least_bytes``, repeated runs of fewer lines go as well, from one line
     up, if their lines have so many bytes together; the length then grows by one line a round, so that none is passed over.
+    Null and empty texts have no lines. Null ids come first, texts under one id are ordered by a hash, rows that agree in
+    both are one document; texts and lines may be of any length. An empty table gives no rows.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     sizes = [] if least_bytes is None else ["line_size", "size"]
@@ -100,7 +102,8 @@ def digest_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
 
 def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_bytes: int | None = None) -> DataFrame:
-    """``docs`` without later copies of repeated line runs (see removed_lines); rows of which no word is left go."""
+    """``docs`` without later copies of repeated line runs (see removed_lines); rows of which no word is left go.
+    Rows that lose no line stay as they are, null and empty texts among them; all columns stay, whatever they are called."""
     rows, gone = _with_gone(docs, doc_id, text, run, least_bytes)
     raw = F.coalesce(F.col(text), F.lit(""))
     changed = rows.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(_kept_text(raw, F.col(gone))))

@@ -299,7 +299,9 @@ def digest_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without their repeated bytes; what is left of a cut character goes too. Rows left without text go."""
+    """``docs`` without their repeated bytes; what is left of a cut character goes too. Rows left without text go.
+    Texts under 100 bytes, null and empty ones stay. Null ids come first, texts under one id are ordered by a hash, and of
+    equal rows of 100 bytes or more one stays. All columns stay, whatever they are called; an empty table gives no rows."""
     heads, spans = repeated_spans(docs, doc_id, text, **options)
     names = fresh(docs, "doc", "tag", "copy", "starts", "ends", "nth")
     doc, tag, copy, starts, ends, nth = names
