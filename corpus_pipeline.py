@@ -13,12 +13,15 @@ from quern.llm.suffixes import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or their host's verdict rejects go."""
+    """Documents that the base rule or their host's verdict rejects go. Null and empty texts have no words, so the base rule
+    rejects them; a null host has no verdict; repeated rows and null ids are judged like others, whole texts of any length."""
     return accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go: of three lines or more, or of 100 bytes or more."""
+    """Later copies of repeated runs of lines go: of three lines or more, or of 100 bytes or more. Rows of which no word is
+    left go as well; null and empty texts have no lines and stay. Null ids count as the first, texts under one id are ordered
+    by a hash, and rows that agree in both are one document, so both stay. A text's lines may be any number."""
     return remove_lines(docs, least_bytes=LEAST_BYTES)
 
 
@@ -29,12 +32,15 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 100-byte strings that start earlier as well go."""
+    """Bytes of 100-byte strings that start earlier as well go. Texts under 100 bytes, null and empty ones stay as they are;
+    rows of which nothing is left go. Null ids count as the first; of rows that agree in id and text, and have 100 bytes,
+    one stays. Whole texts of any length are judged."""
     return remove_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of what is left."""
+    """Token sequences of what is left: a row for each piece, where null and empty texts have one end token. Null and
+    repeated ids are rows like others; a long text is cut into as many pieces as it needs."""
     return pack(docs)
 
 
