@@ -22,8 +22,8 @@ from .scratch import Stored
 
 #: Bytes that are read for a header at first; a header that isn't found there is looked for in as many as FULL_HEADER.
 HEADER, FULL_HEADER = 4096, 1 << 20
-#: Paths in one scan of the image source, which takes its paths from the driver.
-DECODE_PATHS = 2000
+#: Files that are decoded by a scan of their paths, which pass the driver; more are decoded by a scan of the whole folder.
+DECODE_PATHS = 20_000
 
 
 class Registry(Protocol):
@@ -75,13 +75,16 @@ class FileRegistry:
 
     def check(self, samples: DataFrame) -> DataFrame:
         """Samples without attachments stay. Only referenced files are opened; what fails by its header isn't read further,
-        PNG files of a right height are unpacked and verified where they are, others are decoded by the image source."""
+        PNG files of a right height are unpacked and verified where they are, others are decoded by the image source: only
+        these while they are few, else with the folder's others, which costs more reading but no list on the driver."""
         found = Stored(_headers(self.referenced(samples)).where("height > 1"), "headers").df
         png = found.where("format = 'png'").mapInArrow(_verify, "path string, height int")
-        good, rest = png, found.where("format <> 'png'").select("path", "at")
-        for paths in _in_blocks(rest, DECODE_PATHS):
-            some = self._below(read_images(self.spark, paths)).select("path", "height")
-            good = good.unionByName(some)
+        rest = found.where("format <> 'png'").select("path", "at")
+        n = rest.count()
+        if not n:
+            return valid_samples(samples, png)
+        decoded = read_images(self.spark, [r["at"] for r in rest.collect()] if n <= DECODE_PATHS else self.base)
+        good = png.unionByName(self._below(decoded).select("path", "height").join(rest.select("path"), "path", "left_semi"))
         return valid_samples(samples, good)
 
     def with_headers(self, samples: DataFrame) -> DataFrame:
@@ -119,17 +122,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(heights, pa.int32())], names=["path", "height"])
 
 
-def _in_blocks(files: DataFrame, size: int) -> Iterator[list[str]]:
-    block: list[str] = []
-    for r in files.toLocalIterator():
-        block.append(r["at"])
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
 class ArchiveRegistry:
     """Files in archives, by their number over all archives; samples are kept if all numbers are there. Only the bytes of
     members that samples refer to are read, after the last shuffle."""

@@ -245,8 +245,9 @@ def test_other_formats_are_decoded_by_the_source(spark, tmp_path, monkeypatch):
     samples = spark.createDataFrame([(n, [("image", n)]) for n in names], f"key string, modalities {ITEM}")
     heads = {r.path: (r.format, r.width, r.height) for r in registry.headers(samples).collect()}
     assert heads["good.jpg"] == ("jpeg", 9, 6) and heads["good.gif"] == ("gif", 9, 6) and heads["low.bmp"] == ("bmp", 9, 1)
-    monkeypatch.setattr(registries, "DECODE_PATHS", 2)  # several scans
-    assert sorted(r.key for r in registry.check(samples).collect()) == ["good.bmp", "good.gif", "good.jpg"]
+    for most in (registries.DECODE_PATHS, 2):  # by their paths, and with the whole folder
+        monkeypatch.setattr(registries, "DECODE_PATHS", most)
+        assert sorted(r.key for r in registry.check(samples).collect()) == ["good.bmp", "good.gif", "good.jpg"]
 
 
 def test_pairs_of_pixels_and_ids(spark, tmp_path):
