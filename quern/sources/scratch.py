@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-_left: list[Stored] = []
+_left: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,23 +48,22 @@ class Stored:
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, tag)
-        _left.append(self)
-        if len(_left) == 1:
+        if not _left:
             atexit.register(_drop_left)
+        _left[self.path] = hadoop(self.spark, self.path)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         files, at = hadoop(self.spark, self.path)
         files.delete(at, True)
-        if self in _left:
-            _left.remove(self)
+        _left.pop(self.path, None)
 
 
 def _drop_left() -> None:
-    """Best effort: where the session has stopped before, its own folder is all that can be removed."""
-    for table in list(_left):
+    """Best effort: a stopped session's files can still be reached while its JVM runs."""
+    for files, at in list(_left.values()):
         try:
-            table.drop()
+            files.delete(at, True)
         except Exception:  # no JVM any more
             return
