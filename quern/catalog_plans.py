@@ -12,6 +12,7 @@ from .functions import vectors as V
 from .operators import batched, evaluation, indexing, mixing, modalities
 from .plans import captions, supervision
 from .plans import tokenization as K
+from .sources.readers import spread
 from .sources.scratch import Stored
 
 MARK = "<|attachment|>"
@@ -65,7 +66,7 @@ def mixed_samples(spark, sf_dir):
     """Texts and conversations in one table, told apart by row and kept together by key."""
     one = F.array(F.struct(F.lit("image").alias("type"), F.lit("v").alias("value"), F.lit(2).cast("long").alias("num_embeddings")))
     marked = F.col("doc_id") % 3 == 1
-    d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), F.when(marked, F.concat(F.lit(MARK), "text")).otherwise(F.col("text")).alias("text"), F.when(marked, one).alias("modalities"))
+    d = spread(_t(spark, sf_dir, "documents")).select(F.concat(F.lit("d"), "doc_id").alias("key"), F.when(marked, F.concat(F.lit(MARK), "text")).otherwise(F.col("text")).alias("text"), F.when(marked, one).alias("modalities"))
     c = supervision.conversations_of(_t(spark, sf_dir, "conversations")).select(F.concat(F.lit("c"), "conv_id").alias("key"), "messages")
     out = _digests(K.tokenize_samples(mixing.concat([d, c]), _vocabulary(), K.LLAMA, MARK), K.LLAMA, "key")
     return out.withColumn("n_ignored", F.when(F.startswith("key", F.lit("d")), F.col("n_ignored")))

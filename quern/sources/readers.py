@@ -81,6 +81,13 @@ def read_saved_dataset(spark: SparkSession, folder: str, columns: list[str] | No
     return read_saved(spark, folder, columns)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the session has cores, dealt to all of them by rows: for work that costs much a row.
+    Scans with more splits stay as they are, so large tables aren't shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_parquet_registry(spark: SparkSession, folder: str) -> DataFrame:
     """path, bytes, format of the Parquet files in a folder (not below it); the last row of a path in the last file wins."""
     from ..operators.mixing import last_wins
