@@ -17,9 +17,9 @@ class _Watched:
 
     encode_batch_fast = encode_batch
 
-    def decode_batch(self, rows, **options):
-        self.most = max(self.most, sum(map(len, rows)))
-        return self.tok.decode_batch(rows, **options)
+    def decode(self, ids, **options):
+        self.most = max(self.most, len(ids))
+        return self.tok.decode(ids, **options)
 
 
 def test_tokenizer_is_handed_bounded_slices():
@@ -39,3 +39,35 @@ def test_tokenizer_is_handed_bounded_slices():
     assert K._encoded(tok, pa.array(texts[1:4], pa.string()).slice(1, 1)).to_pylist() == [tok.encode(texts[2], add_special_tokens=False).ids]
     assert K._decoded(tok, short.slice(1, 2), False).to_pylist() == texts[1:3]
     assert len(K._encoded(tok, pa.array([], pa.string()))) == len(K._decoded(tok, short.slice(0, 0), False)) == 0
+
+
+def test_row_groups_are_read_once_a_window(tmp_path, monkeypatch):
+    import random
+
+    import pyarrow.parquet as pq
+
+    from quern.sources import payloads
+
+    file = f"{tmp_path}/a.parquet"
+    pq.write_table(pa.table({"path": [str(i) for i in range(3000)], "bytes": [b"%d" % i * 50 for i in range(3000)]}), file, row_group_size=30)
+    rows = [[{"file": file, "row": r}, None, {"file": file, "row": 2999 - r}] for r in random.Random(1).sample(range(3000), 3000)]
+    batches = [pa.RecordBatch.from_pylist([{"k": i, "at": row} for i, row in part]) for part in (list(enumerate(rows))[s : s + 700] for s in range(0, 3000, 700))]
+
+    def fetched(most):
+        monkeypatch.setattr(payloads, "FETCH_BYTES", most)
+        groups, seen, reads = payloads._Groups("bytes"), [], []
+        for window in payloads._windows(iter(batches), 1, groups):
+            was = groups.read
+            listed = [row for _, part in window for row in part]
+            assert [row for b, _ in window for row in b.column(1).to_pylist()] == listed
+            got = {p: groups.get(*p) for p in sorted({(x["file"], x["row"]) for row in listed for x in row if x})}
+            assert all(v == b"%d" % p[1] * 50 for p, v in got.items())
+            assert sum(map(len, got.values())) < 2 * most
+            seen += listed
+            reads.append(groups.read - was)
+        groups.close()
+        assert seen == rows
+        return reads
+
+    assert fetched(64 << 20) == [100]  # by rows of 64 they were some thousands
+    assert len(many := fetched(1 << 18)) > 2 and max(many) <= 100
