@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -19,6 +20,8 @@ from .ranges import Ranges, list_files, open_file, store_of
 
 #: Bytes of record batches that a task reads, unless one batch has more.
 STRETCH = 64 << 20
+#: Bytes of a shard in memory beyond which more shards are written than were asked for.
+SHARD_BYTES = 256 << 20
 _STRETCHES = "file string, place long, head array<struct<at:long,size:long>>, start long, size long"
 _SCHEMA, _DICTIONARY, _BATCH = 1, 2, 3
 
@@ -130,14 +133,24 @@ def _plain(column: pa.Array) -> pa.Array:
 
 
 def write_saved(df: DataFrame, folder: str, shards: int | None = None, max_rows: int = 10_000) -> None:
-    """``df`` as a saved dataset at ``folder``: numbered shards, one for each partition (or ``shards`` of them), and both
-    state files. Shards are written aside by tasks and moved on commit, the state last: a job that fails leaves no dataset
+    """``df`` as a saved dataset at ``folder``: numbered shards, one for each partition (or ``shards`` of them, more where
+    they would hold over SHARD_BYTES each, since a shard is one task's; rows are weighed first), and both state files. Shards are written aside by tasks and moved on commit, the state last: a job that fails leaves no dataset
     and, after its abort, no file; a repeated task leaves one shard. A folder that holds a dataset already is an error."""
     df.sparkSession.dataSource.register(SavedDataset)
-    rows = df.repartition(shards) if shards else df
+    rows = df.repartition(max(shards, -(-_weight(df) // SHARD_BYTES))) if shards else df
     rows.write.format(SavedDataset.name()).option("path", folder).option("rows", str(max_rows)).mode("append").save()
 
 
+def _weight(df: DataFrame) -> int:
+    """Bytes of all rows in Arrow."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    return df.mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 class SavedDataset(DataSource):
     """Sink. Options: path, rows (in a record batch)."""
 

@@ -17,9 +17,9 @@ class _Watched:
 
     encode_batch_fast = encode_batch
 
-    def decode(self, ids, **options):
-        self.most = max(self.most, len(ids))
-        return self.tok.decode(ids, **options)
+    def decode_batch(self, rows, **options):
+        self.most = max(self.most, sum(map(len, rows)))
+        return self.tok.decode_batch(rows, **options)
 
 
 def test_tokenizer_is_handed_bounded_slices():
@@ -71,3 +71,18 @@ def test_row_groups_are_read_once_a_window(tmp_path, monkeypatch):
 
     assert fetched(64 << 20) == [100]  # by rows of 64 they were some thousands
     assert len(many := fetched(1 << 18)) > 2 and max(many) <= 100
+
+
+def test_shards_stay_small(spark, tmp_path, monkeypatch):
+    import glob
+
+    from quern.sources import saved
+
+    df = spark.range(5000).selectExpr("id", "repeat('x', 200) as text")
+    saved.write_saved(df, f"{tmp_path}/few", 3)
+    monkeypatch.setattr(saved, "SHARD_BYTES", 1 << 16)
+    saved.write_saved(df, f"{tmp_path}/many", 3)
+    assert len(glob.glob(f"{tmp_path}/few/*.arrow")) == 3
+    assert len(glob.glob(f"{tmp_path}/many/*.arrow")) > 15
+    for folder in ("few", "many"):
+        assert sorted(saved.read_saved(spark, f"{tmp_path}/{folder}").collect()) == sorted(df.collect())
