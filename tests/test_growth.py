@@ -86,3 +86,21 @@ def test_shards_stay_small(spark, tmp_path, monkeypatch):
     assert len(glob.glob(f"{tmp_path}/many/*.arrow")) > 15
     for folder in ("few", "many"):
         assert sorted(saved.read_saved(spark, f"{tmp_path}/{folder}").collect()) == sorted(df.collect())
+
+
+def test_ids_are_handed_on_by_slices(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = K._tokenizer(path, ())
+    texts = [None, "", "é 日本\n", *(f"line {i} of some words" * 40 for i in range(1000)), "x " * K.SLICE_BYTES, None, "end"]
+    watched, seen = _Watched(tok), 0
+    for part, sizes, ids in K._encoded_slices(watched, pa.array(texts[:1000], pa.string())):
+        assert watched.most <= K.SLICE_BYTES and len(sizes) == len(part) < 997 and len(ids) == sizes.sum()
+        seen += len(part)
+    assert seen == 1000
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    found = rows.select("k", K.Tokens(path).encode(F.col("t")).alias("a"), K.Tokens(path).encode(F.col("t"), chained=True).alias("b")).collect()
+    expected = [None if t is None else tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [r.a for r in sorted(found)] == [r.b for r in sorted(found)] == expected
