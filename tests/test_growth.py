@@ -104,3 +104,21 @@ def test_ids_are_handed_on_by_slices(spark):
     found = rows.select("k", K.Tokens(path).encode(F.col("t")).alias("a"), K.Tokens(path).encode(F.col("t"), chained=True).alias("b")).collect()
     expected = [None if t is None else tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert [r.a for r in sorted(found)] == [r.b for r in sorted(found)] == expected
+
+
+def test_single_files_are_read_by_few_tasks(spark, tmp_path):
+    from quern.functions import images as I  # noqa: E741
+    from quern.sources import readers
+
+    for i in range(300):
+        (tmp_path / f"{i}.png").write_bytes(I.encode_png(K.np.full((1, 1, 3), i % 256, K.np.uint8)) if i % 3 else b"no image")
+    most = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(most)
+    spark.conf.set(most, "1b")  # a task for each file
+    try:
+        files, images = readers.read_files(spark, str(tmp_path)), readers.read_images(spark, str(tmp_path))
+        assert files.rdd.getNumPartitions() == images.rdd.getNumPartitions() == max(4 * spark.sparkContext.defaultParallelism, 300 // 16) < 300
+        assert {r.path.rsplit("/", 1)[1] for r in files.collect()} == {f"{i}.png" for i in range(300)}
+        assert sorted(r.height for r in images.collect()) == [-1] * 100 + [1] * 200
+    finally:
+        spark.conf.set(most, was)
