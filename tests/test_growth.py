@@ -122,3 +122,41 @@ def test_single_files_are_read_by_few_tasks(spark, tmp_path):
         assert sorted(r.height for r in images.collect()) == [-1] * 100 + [1] * 200
     finally:
         spark.conf.set(most, was)
+
+
+def test_texts_are_handed_on_by_slices(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = K._tokenizer(path, ())
+    texts = [None, "", "é 日本\n", *(f"line {i} of some words" * 40 for i in range(1000)), None, "end"]
+    ids = K._encoded(tok, pa.array(texts, pa.string()))
+    both = pa.RecordBatch.from_arrays([ids, ids.cast(pa.list_(pa.int32()))], ["a", "b"])
+    watched, parts = _Watched(tok), []
+    for found in K._decoded_slices(watched, both, False):
+        assert found[0] == found[1] and len(found[0]) < len(texts) // 2
+        parts += found[0].to_pylist()
+    assert parts == texts and watched.most <= K.SLICE_IDS // 2  # of each column
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
+    made = rows.select("k", K.Tokens(path).encode(F.col("t")).alias("ids"))
+    each = K.Tokens(path).decode_each({"whole": F.col("ids"), "few": F.slice("ids", 1, 1).cast("array<int>")}, False)
+    found = made.select("k", each["whole"].alias("a"), each["few"].alias("b"), K.Tokens(path).decode(F.col("ids"), False).alias("c"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython ") == 3  # one for the ids, one for both texts, one for the last
+    found = sorted(found.collect())
+    assert [r.a for r in found] == [r.c for r in found] == texts
+    assert [r.b for r in found] == [None if i is None else tok.decode(i[:1], skip_special_tokens=False) for i in ids.to_pylist()]
+
+
+def test_masked_labels_are_made_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import tokens as T
+
+    labels = F.reverse(F.reverse("ids"))
+    for tag in (1, 2, 3):
+        labels = T.mask_between(labels, F.col("ids"), [tag], [9])
+    df = spark.createDataFrame([([1, 5, 9, 2, 6, 9, 4, 7, 9, 3, 9, 8],)], "ids array<bigint>").select(labels.alias("l"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1  # else once for each span of the next mask
+    assert df.first().l == [-100] * 6 + [4, 7, 9] + [-100] * 2 + [8]
