@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from .ranges import store_of
 
 #: Folder of the failures table below the files'.
 FAILURES = "_failures"
+#: Errors that a path brings about itself; any other is the store's.
+OF_PATH = {errno.EACCES, errno.EEXIST, errno.EILSEQ, errno.EINVAL, errno.EISDIR, errno.ELOOP, errno.ENAMETOOLONG, errno.ENOTDIR, errno.ENOTEMPTY, errno.EPERM}
 _FAILED = pa.schema([("path", pa.string()), ("error", pa.string())])
 
 
@@ -25,8 +28,9 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 
     A task writes its files aside and moves them to their places when it has all of them, so a task that fails or is
     repeated leaves no part of a file, and of a path's several rows one stays whole. Failures are a table below the folder,
-    renewed by each write. Paths that leave the folder, null paths and null bytes fail; folders are made as needed. Any
-    store that Arrow opens will do.
+    renewed by each write. Paths that leave the folder, that the store can't have (a file is in the way, a name is too long),
+    null paths and null bytes fail; a store that fails (it is full, a file too many is open) fails the task, as its rows
+    aren't at fault. Folders are made as needed. Any store that Arrow opens will do.
     """
     spark = rows.sparkSession
     spark.dataSource.register(FileSink)
@@ -62,15 +66,13 @@ class FileWriter(DataSourceArrowWriter):
         moves, failed, made = [], [], set()
         for batch in iterator:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    at = posixpath.normpath(posixpath.join(root, name))
-                    if not at.startswith(root + "/"):
-                        raise ValueError("leaves the folder")
-                    with store.open_output_stream(f"{own}/{len(moves)}") as f:
-                        f.write(data.as_buffer())
-                    moves.append((name, at))
-                except Exception as e:  # what can't be written is listed, not fatal
-                    failed.append((name, str(e)))
+                at = None if name is None else posixpath.normpath(posixpath.join(root, name))
+                if at is None or not at.startswith(root + "/") or not data.is_valid:
+                    failed.append((name, "no path" if at is None else "leaves the folder" if data.is_valid else "no bytes"))
+                    continue
+                with store.open_output_stream(f"{own}/{len(moves)}") as f:
+                    f.write(data.as_buffer())
+                moves.append((name, at))
         done = 0
         for i, (name, at) in enumerate(moves):
             try:
@@ -79,8 +81,10 @@ class FileWriter(DataSourceArrowWriter):
                     made.add(parent)
                 store.move(f"{own}/{i}", at)
                 done += 1
-            except Exception as e:  # as above
-                failed.append((name, str(e)))
+            except (OSError, ValueError) as e:
+                if isinstance(e, OSError) and e.errno not in OF_PATH:
+                    raise
+                failed.append((name, str(e)))  # what can't be written is listed, not fatal
         table = pa.Table.from_arrays([pa.array([x[k] for x in failed], pa.string()) for k in (0, 1)], schema=_FAILED)
         with store.open_output_stream(f"{own}/failures") as f:
             pq.write_table(table, f)

@@ -1,16 +1,20 @@
 """Sinks with a commit, saved datasets by record batch, batched maps, observed filters."""
 
+import errno
 import glob
 import json
 import os
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
+from quern import catalog, catalog_sources  # noqa: F401
 from quern.operators import batched, evaluation
-from quern.sources import readers, saved, writers
+from quern.sources import files, readers, saved, writers
 
 
 def plan(df):
@@ -107,6 +111,59 @@ def test_failed_file_task_leaves_nothing(spark, tmp_path):
     assert not glob.glob(str(tmp_path / "out/f*")) and not glob.glob(str(tmp_path / "out/.aside*"))
 
 
+@pytest.mark.parametrize("fails", ["open_output_stream", "move"])
+def test_failing_store_isnt_a_rows_fault(tmp_path, monkeypatch, fails):
+    class Full:
+        store, left = pa.fs.LocalFileSystem(), 1
+
+        def __getattr__(self, name):
+            if name == fails and self.left:
+                self.left = 0
+                raise OSError(errno.ENOSPC, "No space left on device")
+            return getattr(self.store, name)
+
+    full = Full()
+    monkeypatch.setattr(files, "store_of", lambda path: (full, path))
+    batch = pa.RecordBatch.from_pydict({"path": ["a", "b"], "bytes": [b"1", b"2"]})
+    with pytest.raises(OSError, match="No space left"):
+        files.FileWriter(str(tmp_path)).write(iter([batch]))
+
+
+@pytest.mark.parametrize("names", [["a.txt", "b.bin", "_c.txt", ".d.txt", "e._COPYING_", "x/f.txt", "_y/g.txt", "x/z/h {1}.txt"], ["k=1/a.txt", "k=2/b.bin", "k=2/_c.txt"]])
+def test_empty_files_are_scanned_like_others(spark, tmp_path, names):
+    for tree, data in (("full", b"1"), ("none", b"")):
+        for n in names:
+            (tmp_path / tree / n).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / tree / n).write_bytes(data)
+    for folder in ("", "/*.txt") if "a.txt" in names else ("",):
+        for pattern in (None, "*.txt", "[a-g].{txt,bin}"):
+            for recursive in (False, True):
+                full, none = ({(r.path, bytes(r.bytes)) for r in readers.read_files(spark, f"{tmp_path}/{tree}{folder}", pattern, recursive).collect()} for tree in ("full", "none"))
+                assert full and none == {(p.replace("/full/", "/none/"), b"") for p, _ in full}
+    assert {r.path for r in readers.empty_files(spark, f"{tmp_path}/none", None, True).collect()} == {r.path for r in readers.read_files(spark, f"{tmp_path}/none", None, True).collect()}
+
+
+def test_empty_files_of_a_store_that_only_spark_opens(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    for n, data in (("a.txt", b"1"), ("b.txt", b""), ("_c.txt", b""), ("x/d.txt", b"")):
+        (tmp_path / n).write_bytes(data)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.sinks.link./in", f"file://{tmp_path}")
+    for recursive, want in ((False, {"a.txt", "b.txt"}), (True, {"a.txt", "b.txt", "x/d.txt"})):
+        assert {r.path for r in readers.read_files(spark, "viewfs://sinks/in", "*.txt", recursive).collect()} == {f"viewfs://sinks/in/{n}" for n in want}
+
+
+ODD = [(1, "a"), (2, ""), (3, None), (7, "x"), (14, ""), (21, None), (None, "n"), (None, None), (5, "one"), (5, "two"), (5, "two"), (28, "k"), (28, "k"), (-7, "m"), (-8, "mm")]
+
+
+@pytest.mark.parametrize("rows", [ODD, [(7, "a"), (14, "")], []])
+def test_file_sink_of_odd_documents(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLE_SQL["file_sink"]).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in catalog.QUERIES["file_sink"](spark, str(tmp_path)).collect())
+
+
 def test_map_batches(spark, df):
     sizes = batched.map_batches(df.coalesce(1), lambda c: {"n": np.array([len(c["id"])]), "total": [int(c["a"].values.sum())]}, "n long, total long", size=300).collect()
     assert [r.n for r in sizes] == [300] * 6 + [200] and sum(r.total for r in sizes) == 2 * sum(range(2000))
